@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clonewright.sources.tables import table
 
-from . import components, cutoffs, formatting, leaks
+from . import components, cutoffs, formatting, leaks, neardup
+from .common import field_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.named_groups(components.finding_links(table(spark, d, "findings")))
 
 
+def _p3_near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    fields = {"text_orig": F.col("text_orig"), "cluster_canonical": F.col("cluster_canonical")}
+    return neardup.NearDuplicates(field_values(table(spark, d, "definitions"), fields), run=3, threshold=0.6, min_words=20)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3_near(spark, d).record_pairs()
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _p3_near(spark, d).clusters()
+
+
 def _p5_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scores = cutoffs.latest_findings(table(spark, d, "findings"))
     cuts = cutoffs.cutoffs(scores, table(spark, d, "keep_targets"), ["kind", "severity"], "thickness", "keep_permille")
@@ -36,8 +50,6 @@ def p5_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 def _p7_members(spark: SparkSession, d: str) -> DataFrame:
     fields = {"text_orig": F.col("text_orig"), "xname_canonical": F.col("analysis.xname_canonical")}
-    from .common import field_values
-
     return formatting.collapse(field_values(table(spark, d, "definitions"), fields))
 
 
@@ -64,6 +76,8 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_clusters": p3_clusters,
         "p5_found": p5_found,
         "p5_cutoffs": p5_cutoffs,
         "p7_found": p7_found,
@@ -100,6 +114,21 @@ w AS (SELECT field, def_id, list_sort(regexp_extract_all(lower(value), '[a-z0-9_
 k AS (SELECT field, def_id, min(def_id) OVER (PARTITION BY field, c) AS keep_id FROM w WHERE len(c) >= 8)
 """
 
+_FOUND_3 = """
+WITH v AS (
+  SELECT DISTINCT 'text_orig' AS field, def_id, text_orig AS value FROM definitions WHERE text_orig IS NOT NULL
+  UNION SELECT DISTINCT 'cluster_canonical', def_id, cluster_canonical FROM definitions WHERE cluster_canonical IS NOT NULL),
+w AS (SELECT field, def_id, regexp_extract_all(lower(value), '[a-z0-9_]+') AS w FROM v),
+s AS (
+  SELECT DISTINCT field, def_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS runs
+  FROM w WHERE len(w) >= 20),
+g AS (SELECT field, def_id, len(runs) AS n, unnest(runs) AS run FROM s),
+p AS (
+  SELECT a.field, a.def_id AS def_id_a, b.def_id AS def_id_b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS either
+  FROM g a JOIN g b ON a.field = b.field AND a.run = b.run AND a.def_id < b.def_id
+  WHERE least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY ALL)
+"""
+
 _RUNS_9 = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -121,6 +150,7 @@ reach(member, other) AS (
   UNION
   SELECT r.member, b.member FROM reach r JOIN m a ON a.member = r.other JOIN m b ON b.finding_id = a.finding_id)
 SELECT member, min(other) AS group_member FROM reach GROUP BY member""",
+        "p3_found": _FOUND_3 + "SELECT field, def_id_a, def_id_b FROM p WHERE common >= 0.6 * either",
         "p5_found": _CUTS
         + "SELECT s.finding_id FROM scored s JOIN cuts c ON s.kind = c.kind AND s.severity = c.severity WHERE s.thickness >= c.cutoff",
         "p5_cutoffs": _CUTS
