@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clonewright.sources.tables import table
 
-from . import components, cutoffs, formatting, leaks, neardup
+from . import components, cutoffs, formatting, leaks, neardup, spans, terms
 from .common import field_values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,21 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _p3_near(spark, d).clusters()
 
 
+def _p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.col("analysis.type3_lines")
+    rows = table(spark, d, "definitions").where(F.col("def_id").isNotNull() & (F.size(lines) >= 3))
+    return terms.TermTable(rows.select(F.col("def_id").alias("id"), lines.alias("lines")).dropDuplicates(["id"])).scored()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.best_terms(_p4_terms(spark, d), "rarity").select(F.col("id").alias("def_id"), "term")
+
+
+def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
+    best = terms.best_terms(_p4_terms(spark, d), "adjusted")
+    return best.select(F.col("id").alias("def_id"), "term", F.round("score", 6).alias("adjusted"))
+
+
 def _p5_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scores = cutoffs.latest_findings(table(spark, d, "findings"))
     cuts = cutoffs.cutoffs(scores, table(spark, d, "keep_targets"), ["kind", "severity"], "thickness", "keep_permille")
@@ -48,6 +63,19 @@ def p5_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cuts.select("kind", "severity", "permille", "cutoff", "n", "n_kept")
 
 
+def _p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    fields = {"text_orig": F.col("text_orig"), "type3_lines": F.array_join("analysis.type3_lines", "\n")}
+    return spans.shared_spans(field_values(table(spark, d, "definitions"), fields))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_spans(spark, d).select("field", "def_id")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_spans(spark, d)
+
+
 def _p7_members(spark: SparkSession, d: str) -> DataFrame:
     fields = {"text_orig": F.col("text_orig"), "xname_canonical": F.col("analysis.xname_canonical")}
     return formatting.collapse(field_values(table(spark, d, "definitions"), fields))
@@ -78,8 +106,12 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_clusters": p3_clusters,
+        "p4_found": p4_found,
+        "p4_residuals": p4_residuals,
         "p5_found": p5_found,
         "p5_cutoffs": p5_cutoffs,
+        "p6_found": p6_found,
+        "p6_shares": p6_shares,
         "p7_found": p7_found,
         "p7_copies": p7_copies,
         "p9_found": p9_found,
@@ -106,6 +138,29 @@ cuts AS (
   WHERE reached * 1000 >= n * keep_permille GROUP BY kind, severity)
 """
 
+_TERMS_4 = """
+WITH l AS (
+  SELECT def_id, any_value(analysis.type3_lines) AS lines FROM definitions WHERE len(analysis.type3_lines) >= 3 GROUP BY def_id),
+t AS (SELECT def_id, unnest(regexp_extract_all(array_to_string(lines, chr(10)), '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM l),
+c AS (SELECT def_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (
+  SELECT *, count(*) OVER (PARTITION BY term) AS d, sum(tf) OVER (PARTITION BY term) AS col_total,
+         sum(tf) OVER (PARTITION BY def_id) AS row_total, sum(tf) OVER () AS total, (SELECT count(*) FROM l) AS n FROM c),
+x AS (
+  SELECT *, round(tf * ln(n / d), 6) AS rarity, row_total * col_total / total AS e,
+         sqrt((1 - row_total / total) * (1 - col_total / total)) AS spread FROM s),
+"""
+
+_RUNS_6 = """
+WITH v AS (
+  SELECT DISTINCT 'text_orig' AS field, def_id, text_orig AS value FROM definitions WHERE text_orig IS NOT NULL
+  UNION SELECT DISTINCT 'type3_lines', def_id, array_to_string(analysis.type3_lines, chr(10)) FROM definitions WHERE analysis.type3_lines IS NOT NULL),
+r AS (SELECT field, def_id, length(value) AS n_chars, start, hash(substring(value, start::INT, 240)) AS h
+  FROM v, range(1, length(value) - 238) t(start) WHERE length(value) >= 240),
+twice AS (SELECT field, h FROM r GROUP BY ALL HAVING min(def_id) < max(def_id)),
+hit AS (SELECT r.* FROM r JOIN twice USING (field, h))
+"""
+
 _FOUND_7 = """
 WITH v AS (
   SELECT DISTINCT 'text_orig' AS field, def_id, text_orig AS value FROM definitions WHERE text_orig IS NOT NULL
@@ -151,12 +206,20 @@ reach(member, other) AS (
   SELECT r.member, b.member FROM reach r JOIN m a ON a.member = r.other JOIN m b ON b.finding_id = a.finding_id)
 SELECT member, min(other) AS group_member FROM reach GROUP BY member""",
         "p3_found": _FOUND_3 + "SELECT field, def_id_a, def_id_b FROM p WHERE common >= 0.6 * either",
+        "p4_found": _TERMS_4
+        + "o AS (SELECT *, row_number() OVER (PARTITION BY def_id ORDER BY rarity DESC, term) AS k FROM x) SELECT def_id, term FROM o WHERE k = 1",
         "p5_found": _CUTS
         + "SELECT s.finding_id FROM scored s JOIN cuts c ON s.kind = c.kind AND s.severity = c.severity WHERE s.thickness >= c.cutoff",
         "p5_cutoffs": _CUTS
         + """SELECT s.kind, s.severity, any_value(keep_permille) AS permille, any_value(c.cutoff) AS cutoff, any_value(n) AS n,
   count(*) FILTER (WHERE s.thickness >= c.cutoff) AS n_kept
 FROM scored s JOIN cuts c ON s.kind = c.kind AND s.severity = c.severity GROUP BY s.kind, s.severity""",
+        "p6_found": _RUNS_6 + "SELECT DISTINCT field, def_id FROM hit",
+        "p6_shares": _RUNS_6
+        + """, gaps AS (
+  SELECT *, start - lag(start) OVER (PARTITION BY field, def_id ORDER BY start) AS gap FROM (SELECT DISTINCT field, def_id, n_chars, start FROM hit))
+SELECT field, def_id, any_value(n_chars) AS n_chars, sum(CASE WHEN gap IS NULL THEN 240 ELSE least(gap, 240) END)::BIGINT AS n_shared,
+  count(*) FILTER (WHERE gap IS NULL OR gap > 240) AS n_spans FROM gaps GROUP BY field, def_id""",
         "p7_found": _FOUND_7 + "SELECT field, keep_id, def_id FROM k WHERE def_id > keep_id",
         "p7_copies": _FOUND_7 + "SELECT field, keep_id, count(*) AS copies FROM k GROUP BY field, keep_id HAVING count(*) > 1",
         "p9_found": _RUNS_9 + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
