@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +31,3 @@ def field_values(definitions: DataFrame, fields: dict[str, Column]) -> DataFrame
         .select(F.col("_fv.field").alias("field"), "def_id", F.col("_fv.value").alias("value"))
         .where(F.col("value").isNotNull())
     )
-
-
-def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under one name, so that every Python stage of the package is easy to find."""
-    return df.mapInArrow(step, schema)
-
-
-def split_hot(rows: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """Keys that hold more than one in ``share`` of all rows: at most ``share`` keys, so safe to broadcast."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") * share > F.col("_all")).select(key)

@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 
 from clonewright.sources.tables import table
 
-from . import components, cutoffs, formatting, leaks, neardup, spans, terms
+from . import components, cutoffs, formatting, leaks, levels, neardup, packing, sourcefiles, spans, terms
 from .common import field_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1_marked(spark: SparkSession, d: str) -> DataFrame:
+    return sourcefiles.not_handwritten(table(spark, d, "source_files"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_marked(spark, d).select("file")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_marked(spark, d).select("file", F.explode("reasons").alias("reason"))
+
+
+def p1_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    kept = sourcefiles.handwritten_definitions(table(spark, d, "definitions"), _p1_marked(spark, d))
+    return kept.select("def_id", "lang", "file").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.named_groups(components.finding_links(table(spark, d, "findings")))
 
@@ -89,6 +106,14 @@ def p7_copies(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copies(_p7_members(spark, d))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d))
+
+
 def _p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -101,8 +126,28 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return _p9_leaks(spark, d)
 
 
+def _p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return levels.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    out = _p10_levels(spark, d)
+    return out.select("doc_id", "n_words", "n_sentences", *[F.round(g, 6).alias(g) for g in (*levels.GRADES, "grade")], "level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return levels.level_profile(_p10_levels(spark, d))
+
+
+def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return levels.agreement(spark, _p10_levels(spark, d), table(spark, d, "level_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_reasons": p1_reasons,
+        "p1_handwritten": p1_handwritten,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_clusters": p3_clusters,
@@ -114,8 +159,13 @@ def queries() -> dict[str, Query]:
         "p6_shares": p6_shares,
         "p7_found": p7_found,
         "p7_copies": p7_copies,
+        "p8_containers": p8_containers,
+        "p8_fill": p8_fill,
         "p9_found": p9_found,
         "p9_spans": p9_spans,
+        "p10_levels": p10_levels,
+        "p10_profile": p10_profile,
+        "p10_agreement": p10_agreement,
     }
 
 
