@@ -1,0 +1,105 @@
+"""Exact similarity of strings by matching blocks, with bounds that spare most comparisons."""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+
+class Comparer:
+    """Ratios 2 * matches / length against one fixed second string."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._matcher = SequenceMatcher(None, "", text, autojunk=False)
+        self._bag = Counter(text)
+        self._places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self._places[c] = self._places.get(c, 0) | (1 << i)
+
+    def ratio(self, other: str) -> float:
+        """The exact ratio of (other, text), as matching blocks give it."""
+        if other == self.text:
+            return 1.0
+        self._matcher.set_seq1(other)
+        return self._matcher.ratio()
+
+    def bound(self, other: str, enough: float) -> float:
+        """An upper bound of the ratio; the longest common subsequence if cheaper bounds reach ``enough``."""
+        total = len(other) + len(self.text)
+        if not total:
+            return 1.0
+        bound = 2 * min(len(other), len(self.text)) / total
+        if bound < enough:
+            return bound
+        bound = 2 * (Counter(other) & self._bag).total() / total
+        if bound < enough:
+            return bound
+        return 2 * self._common(other) / total
+
+    def _common(self, other: str) -> int:
+        """Length of the longest common subsequence, one big-integer step per character."""
+        full = (1 << len(self.text)) - 1
+        rows = full
+        for c in other:
+            hit = rows & self._places.get(c, 0)
+            rows = ((rows + hit) | (rows - hit)) & full
+        return len(self.text) - rows.bit_count()
+
+
+def single_linkage(texts: list[str], floor: float) -> list[tuple[list[int], float]]:
+    """Clusters of at least two texts linked by ratios of ``floor`` or more, with the least ratio of any two members.
+
+    Ratios take the text that comes first as the first string. Clusters are in
+    the order of their first member, members ascending. With a floor of 0 or
+    less all texts make one cluster.
+    """
+    n = len(texts)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    known: dict[tuple[int, int], float] = {}
+    comparers: dict[int, Comparer] = {}
+
+    def comparer(j: int) -> Comparer:
+        if j not in comparers:
+            comparers[j] = Comparer(texts[j])
+        return comparers[j]
+
+    for j in range(1, n):
+        for i in range(j):
+            if floor > 0:
+                c = comparer(j)
+                if c.bound(texts[i], floor) < floor:
+                    continue
+                known[i, j] = c.ratio(texts[i])
+                if known[i, j] < floor:
+                    continue
+            root[find(j)] = find(i)
+    members: dict[int, list[int]] = {}
+    for i in range(n):
+        members.setdefault(find(i), []).append(i)
+    out = []
+    for group in sorted(g for g in members.values() if len(g) > 1):
+        least = 1.0
+        for y, j in enumerate(group):
+            for i in group[:y]:
+                value = known.get((i, j))
+                least = min(least, comparer(j).ratio(texts[i]) if value is None else value)
+        out.append((group, least))
+    return out
+
+
+def pair_ratios(left: list[str], right: list[str], keep: Callable[[int, int], bool]) -> list[tuple[int, int, float]]:
+    """(i, j, ratio) of every pair ``keep`` lets through."""
+    out = []
+    for j, text in enumerate(right):
+        c = Comparer(text)
+        out += [(i, j, c.ratio(x)) for i, x in enumerate(left) if keep(i, j)]
+    return out
