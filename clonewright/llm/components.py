@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonewright.plans.scratch import discard, materialise
+from clonewright.operators.graph import smallest_label
+from clonewright.plans.scratch import materialise
 
 
 def ordered_ids(names: DataFrame, column: str) -> DataFrame:
@@ -21,67 +22,6 @@ def ordered_ids(names: DataFrame, column: str) -> DataFrame:
     return materialise(ranged.select("name", F.monotonically_increasing_id().alias("id")))
 
 
-def smallest_label(edges: DataFrame) -> DataFrame:
-    """(id, label) for every id in ``edges`` (columns ``a``, ``b`` of bigint): the smallest id it is linked to.
-
-    Each round hooks every vertex to its smallest neighbour (minimum label
-    propagation), doubles the hooks until each reaches its root (pointer
-    jumping) and contracts the graph to the roots. Roots are never adjacent
-    vertices, so the vertices with edges at least halve each round, and a chain
-    of any length takes log2 of its length in jumps. Every step is written to
-    the shared folder. Hooks are found with partial aggregation, and labels
-    are put together from the rounds' shrinking tables at the end, so a hub that
-    a third of all edges share is no single task's work. Edges with a null end,
-    loops and repeated edges link nothing new; ids that have only loops are kept.
-    """
-    clean = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    ids = clean.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    live = materialise(_canonical_edges(clean, F.col("a"), F.col("b")))
-    rounds: list[DataFrame] = []
-    while not live.isEmpty():
-        both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-        least = F.least(F.min("e.b"), F.col("v")).alias("to")
-        roots = _jumped(live.select(both.alias("e")).groupBy(F.col("e.a").alias("v")).agg(least))
-        left = roots.select(F.col("v").alias("a"), F.col("to").alias("to_a"))
-        right = roots.select(F.col("v").alias("b"), F.col("to").alias("to_b"))
-        contracted = materialise(_canonical_edges(live.join(left, "a").join(right, "b"), F.col("to_a"), F.col("to_b")))
-        discard(live)
-        rounds.append(roots)
-        live = contracted
-    discard(live)
-    labels: DataFrame | None = None
-    for pointers in reversed(rounds):  # each round's table is at most half as long as the one before
-        labels = pointers if labels is None else _follow(pointers, labels)
-    found = ids.withColumn("to", F.col("v"))
-    found = found if labels is None else _follow(found, labels)
-    return found.select(F.col("v").alias("id"), F.col("to").alias("label"))
-
-
-def _jumped(hooks: DataFrame) -> DataFrame:
-    """Pointers (v, to) doubled until every one ends at a root."""
-    pointers = materialise(hooks)
-    while True:
-        onward = pointers.select(F.col("v").alias("to"), F.col("to").alias("onward"))
-        doubled = pointers.join(onward, "to").select("v", F.col("onward").alias("to"), (F.col("onward") != F.col("to")).alias("moved"))
-        ahead = materialise(doubled)
-        discard(pointers)
-        if ahead.where("moved").isEmpty():
-            return ahead
-        pointers = ahead
-
-
-def _follow(pointers: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pointers with their targets replaced by the targets' labels, where they have one."""
-    found = labels.select(F.col("v").alias("to"), F.col("to").alias("label"))
-    return pointers.join(found, "to", "left").select("v", F.coalesce("label", "to").alias("to"))
-
-
-def _canonical_edges(edges: DataFrame, a: Column, b: Column) -> DataFrame:
-    return (
-        edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") < F.col("b")).distinct()
-    )
-
-
 def named_groups(links: DataFrame) -> DataFrame:
     """(member, group_member) for links of strings ``a`` and ``b``, the group named by its smallest member.
 
