@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonewright.plans.scratch import materialise
+from clonewright.operators.graph import smallest_label
+from clonewright.plans.scratch import discard, materialise
 
-from .common import word_count, words_text
+from .common import slices_by_size, words_stage
 
 
 def miss_chance(similarity: float, bands: int, rows: int) -> float:
@@ -97,8 +98,7 @@ def _sign_stage(run: int, rows: int, bands: int):
         signer = Signer(run, rows, bands)
         names = ["field", "def_id", "n_runs", "sketch", "keys"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices_by_size(batch, 2, 1 << 20):
                 keys, sketch, sizes = signer.sign(part.column(2).to_pylist())
                 flat = pa.array(np.ascontiguousarray(keys).reshape(-1))
                 offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
@@ -157,13 +157,15 @@ class NearDuplicates:
         # a one-bit MinHash agrees with chance (1 + s) / 2; four deviations of slack
         likely = (1 + threshold) / 2
         least_bits = int(64 * likely - 4 * (64 * likely * (1 - likely)) ** 0.5)
-        words = values.select("field", "def_id", words_text(F.col("value")).alias("words"))
-        words = words.where(word_count(F.col("words")) >= max(min_words, run))
-        digests = words.select("field", "def_id", F.unhex(F.md5("words")).alias("digest"))
+        # written once: later steps read the digests or the words of it, never the values again
+        words = materialise(values.mapInArrow(words_stage(max(min_words, run)), "field string, def_id long, digest binary, words string"))
+        digests = words.select("field", "def_id", "digest")
         first = digests.groupBy("field", "digest").agg(F.min("def_id").alias("rep"))
         self.classes = materialise(digests.join(first, ["field", "digest"]).select("field", "def_id", "rep").distinct())
         reps = self.classes.select("field", F.col("rep").alias("def_id")).distinct()
-        self.texts = materialise(words.join(reps, ["field", "def_id"], "left_semi").dropDuplicates(["field", "def_id"]))
+        texts = words.select("field", "def_id", "words").join(reps, ["field", "def_id"], "left_semi")
+        self.texts = materialise(texts.dropDuplicates(["field", "def_id"]))
+        discard(words)
         signed = self.texts.mapInArrow(
             _sign_stage(run, rows, bands), "field string, def_id long, n_runs int, sketch long, keys array<long>"
         )
@@ -193,8 +195,6 @@ class NearDuplicates:
 
     def clusters(self) -> DataFrame:
         """(field, def_id, cluster, n_links): the smallest id linked directly or through others, and the number of other records linked directly."""
-        from .components import smallest_label
-
         parts = []
         sizes = self.classes.groupBy("field", "rep").agg(F.count(F.lit(1)).alias("n_class"))
         ends = self.pairs.select("field", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
