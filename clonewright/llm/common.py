@@ -42,20 +42,6 @@ def words_stage(least: int, ordered: bool = True):
     return stage
 
 
-#: A word: a maximal run of these after lower-casing.
-NOT_WORD = "[^a-z0-9_]+"
-
-
-def words_text(text: Column) -> Column:
-    """The words of ``text`` in order, joined by one space; null stays null, no words give ''."""
-    return F.btrim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
-
-
-def word_count(normal: Column) -> Column:
-    """Number of words of a ``words_text`` column."""
-    return F.when(normal == "", 0).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1)
-
-
 def slices_by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``most`` characters of a text column, or of one row."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()

@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonewright.plans.scratch import materialise
 
-from .common import NOT_WORD, word_count, words_text
-
-
-def canonical(text: Column) -> Column:
-    """Words in lower case, sorted, joined by one space: the same for any layout, punctuation and order."""
-    return F.array_join(F.array_sort(F.split(F.btrim(F.regexp_replace(F.lower(text), NOT_WORD, " ")), " ")), " ")
+from .common import words_stage
 
 
 def collapse(values: DataFrame, min_words: int = 8) -> DataFrame:
-    """(field, def_id, keep_id, copies) for rows (field, def_id, value) with at least ``min_words`` words.
+    """(field, def_id, keep_id) for rows (field, def_id, value) with at least ``min_words`` words.
 
-    Rows carry only a 128-bit digest of the canonical text, a second
-    independent 64-bit hash and the word count; texts never cross the shuffle.
+    The canonical text is the words in lower case, sorted. Rows carry only its
+    128-bit digest and a second, independent 64-bit hash; texts never cross the
+    shuffle.
     Groups are aggregated with map-side combining, so a value that a third of
     all rows share costs a row per task. Digests under which the second hash
     differs are collisions: they are told apart by grouping on both. Several
     rows of one ``def_id`` count once; nulls and shorter texts give no row.
     """
-    words = words_text(F.col("value"))
-    long_enough = values.withColumn("n_words", word_count(words)).where(F.col("n_words") >= min_words)
-    text = canonical(F.col("value"))
-    hashed = long_enough.select("field", "def_id", text.alias("c")).select(
-        "field", "def_id", F.unhex(F.md5("c")).alias("digest"), F.xxhash64("c").alias("check")
-    )
+    words = values.mapInArrow(words_stage(min_words, ordered=False), "field string, def_id long, digest binary, words string")
+    hashed = words.select("field", "def_id", "digest", F.xxhash64("words").alias("check"))
     placed = materialise(hashed)
     key = ["field", "digest", "check"]
     groups = placed.groupBy(*key).agg(F.min("def_id").alias("keep_id"), F.max("def_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
