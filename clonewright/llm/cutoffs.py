@@ -69,8 +69,7 @@ def latest_findings(findings: DataFrame) -> DataFrame:
 
 def kept(scores: DataFrame, cuts: DataFrame, source: list[str], score: str) -> DataFrame:
     """The rows of ``scores`` that reach the cutoff of their source; ``cuts`` has a row per target at most."""
-    return (
-        scores.where(F.col(score).isNotNull() & ~F.isnan(score))
-        .join(F.broadcast(cuts.select(*source, "cutoff")), source)
-        .where(F.col(score) >= F.col("cutoff"))
-    )
+    name = "__clonewright_cutoff"
+    limits = F.broadcast(cuts.select(*source, F.col("cutoff").alias(name)))
+    usable = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
+    return usable.join(limits, source).where(F.col(score) >= F.col(name)).select(*[usable[c] for c in scores.columns])

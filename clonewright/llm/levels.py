@@ -17,7 +17,7 @@ SENTENCE_END = re.compile(r"[.!?]+(?:\s|$)")
 PROSE_WORD = re.compile(r"[A-Za-z]+(?:'[a-z]+)?")
 VOWELS = re.compile(r"[aeiouy]+")
 # Spellings that the vowel-group count gets wrong, as hyphenation rules have them.
-SPLIT_GROUPS = re.compile(r"(?<!t)(?<!s)(?<!c)i[ao](?!u)|[^aeiou]ia|io(?=[^nu])|eo(?!u)|ua(?!r)|uo|[^q]ui(?=ng)|ying|ea(?=t[eo])")
+SPLIT_GROUPS = re.compile(r"(?<!t)(?<!s)(?<!c)i[ao](?!u)|[^aeiou]ia|io(?=[^nu])|(?<![pl])eo(?!u)|ua(?!r)|uo|[^q]ui(?=ng)|ying|ea(?=t[eo])")
 SILENT_END = re.compile(r"(?:[^aeiouy]e|[^aeioulr]es|[^aeioutd]ed)$")
 SILENT_MID = re.compile(r"[^aeiouy]e(?=(?:ly|ment|ful|less|ness)s?$)")
 LE_END = re.compile(r"[^aeiouyl]le[sd]?$")

@@ -29,7 +29,7 @@ GENERATED_NOTE = re.compile(
     r"|\b(produced|generated|created) automatically (by|from)\b"
     r"|\bautomatically (produced|generated|created) (by|from)\b"
     r"|^(this file (is|was) )?machine[- ](written|generated|made) by\b"
-    r"|\bgenerated (file|code)\b.*\bdo not (edit|modify)\b",
+    r"|^(this is )?(an? )?(auto-?|automatically )?generated (file|code)\b.*\bdo not (edit|modify)\b",
     re.I,
 )
 VENDORED_NOTE = re.compile(
@@ -71,15 +71,15 @@ def is_numbered_series(names: list[str], least: int = 3) -> bool:
 
 
 def is_minified(code: str) -> bool:
-    """Whether nearly no white space is left, or most names are single letters and nothing is indented deeply."""
-    if len(code) < 150:
-        return False
-    tight = sum(map(str.isspace, code)) < 0.09 * len(code)
+    """Whether next to no white space is left in long lines, or names are mostly single letters and nothing is indented by more than one space a level."""
     names = IDENTIFIER.findall(code)
-    short = sum(len(x) == 1 for x in names)
-    longest = max(map(len, code.split("\n")))
-    dense = len(names) >= 15 and short >= 0.3 * len(names)
-    return (tight and longest > 300 and len(names) >= 15) or dense
+    if len(code) < 150 or len(names) < 15:
+        return False
+    lines = code.split("\n")
+    if sum(map(str.isspace, code)) < 0.09 * len(code) and max(map(len, lines)) > 300:
+        return True
+    indents = [len(x) - len(x.lstrip()) for x in lines if x.strip() and x[0].isspace()]
+    return min(indents, default=0) <= 1 and sum(len(x) == 1 for x in names) >= 0.2 * len(names)
 
 
 def is_data(code: str) -> bool:
@@ -93,11 +93,13 @@ def is_data(code: str) -> bool:
             blob += len(text) if BLOB.match(text) else 0
         else:
             numbers += len(text)
-    return numbers + blob >= 0.3 * len(code)
+    return numbers + blob >= 0.35 * len(code)
 
 
 def reasons(path: str, content: str | None) -> list[str]:
-    """Why a file is not hand-written; empty for hand-written ones. Null content is judged by its path alone."""
+    """Why a file is not hand-written; empty for hand-written ones, and for null content. Empty content is judged by its path."""
+    if content is None:
+        return []
     parts = path.split("/")
     out = []
     if GENERATED_DIRS & set(parts[:-1]) or GENERATED_NAME.search(parts[-1]):
@@ -106,8 +108,6 @@ def reasons(path: str, content: str | None) -> list[str]:
         out.append("minified-layout")
     if VENDOR_DIRS & set(parts[:-2]):
         out.append("vendored-layout")
-    if not content:
-        return out
     lines = content.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     said = notes(lines)
     if any(map(GENERATED_NOTE.search, said)):
@@ -209,7 +209,7 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     A file is marked by what its head or end says, by the names of its folders
     and itself, by what it holds (numbered series, tight code, mere literals),
     or when it or a folder above it stands in another repository too. Files
-    with null path are left out; null content is judged by path only.
+    with null path are left out; a file whose content is null is no case.
     """
     found = materialise(features(files))
     shared = shared_subtrees(found.select("file", "repo", "leaf"))
