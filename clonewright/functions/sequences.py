@@ -4,7 +4,49 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from difflib import SequenceMatcher
+
+
+def _first_shared(a: str, b: str, k: int) -> int:
+    """The first place of ``a`` whose next ``k`` characters stand anywhere in ``b``, or -1."""
+    if k > len(b) or k > len(a):
+        return -1
+    parts = {b[j : j + k] for j in range(len(b) - k + 1)}
+    return next((i for i in range(len(a) - k + 1) if a[i : i + k] in parts), -1)
+
+
+def longest_block(a: str, b: str) -> tuple[int, int, int]:
+    """(i, j, k): the longest string in both, earliest in ``a`` and then in ``b``; k is 0 if they share nothing.
+
+    A bisection on the length, each step a set of substrings: near linear,
+    where tabulating all pairs of places is quadratic.
+    """
+    low, high, place = 0, min(len(a), len(b)) + 1, 0
+    while high - low > 1:
+        k = (low + high) // 2
+        i = _first_shared(a, b, k)
+        if i < 0:
+            high = k
+        else:
+            low, place = k, i
+    return (place, b.find(a[place : place + low]), low) if low else (0, 0, 0)
+
+
+def matching_characters(a: str, b: str) -> int:
+    """Characters in matching blocks: the longest one, then those left and right of it, and so on."""
+    total = 0
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) == 1 or len(y) == 1:
+            total += x in y if len(x) == 1 else y in x
+            continue
+        i, j, k = longest_block(x, y)
+        if k:
+            total += k
+            todo += [(x[:i], y[:j]), (x[i + k :], y[j + k :])]
+    return total
 
 
 class Comparer:
@@ -12,18 +54,17 @@ class Comparer:
 
     def __init__(self, text: str):
         self.text = text
-        self._matcher = SequenceMatcher(None, "", text, autojunk=False)
         self._bag = Counter(text)
         self._places: dict[str, int] = {}
         for i, c in enumerate(text):
             self._places[c] = self._places.get(c, 0) | (1 << i)
 
     def ratio(self, other: str) -> float:
-        """The exact ratio of (other, text), as matching blocks give it."""
+        """The exact ratio of (other, text)."""
         if other == self.text:
             return 1.0
-        self._matcher.set_seq1(other)
-        return self._matcher.ratio()
+        total = len(other) + len(self.text)
+        return 2.0 * matching_characters(other, self.text) / total
 
     def bound(self, other: str, enough: float) -> float:
         """An upper bound of the ratio; the longest common subsequence if cheaper bounds reach ``enough``."""
