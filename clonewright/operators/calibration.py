@@ -124,7 +124,7 @@ def _any(test) -> Column:
 
 def _mostly_i18n_constants() -> Column:
     inside = F.size(F.filter("members", lambda m: is_i18n(m["file"])))
-    return (F.col("kind.id") == "constants") & (inside / F.size("members") >= 0.8)
+    return (F.col("kind.id") == "constants") & (F.try_divide(inside, F.size("members")) >= 0.8)
 
 
 # For each rule the least number of findings, the directive and its reason, in report order.

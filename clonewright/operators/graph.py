@@ -45,18 +45,24 @@ def smallest_label(edges: DataFrame) -> DataFrame:
 
 
 def _jumped(hooks: DataFrame) -> DataFrame:
-    """Pointers (v, to) doubled until every one ends at a root."""
+    """Pointers (v, to) doubled, twice in each written step, until every one ends at a root."""
     pointers = materialise(hooks)
     while True:
-        onward = pointers.select(F.col("v").alias("to"), F.col("to").alias("onward"))
-        doubled = pointers.join(onward, "to").select("v", F.col("onward").alias("to"), (F.col("onward") != F.col("to")).alias("moved"))
-        ahead = materialise(doubled)
+        twice = _doubled(pointers)
+        fourth = _doubled(twice).withColumnRenamed("to", "end")
+        ahead = materialise(twice.join(fourth, "v").select("v", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
         discard(pointers)
         if ahead.where("moved").isEmpty():
             return ahead
         pointers = ahead
 
 
+def _doubled(pointers: DataFrame) -> DataFrame:
+    """Each pointer moved on to where its target points."""
+    onward = pointers.select(F.col("v").alias("to"), F.col("to").alias("onward"))
+    return pointers.select("v", "to").join(onward, "to").select("v", F.col("onward").alias("to"))
+
+
 def _follow(pointers: DataFrame, labels: DataFrame) -> DataFrame:
     """Pointers with their targets replaced by the targets' labels, where they have one."""
     found = labels.select(F.col("v").alias("to"), F.col("to").alias("label"))

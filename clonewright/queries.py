@@ -14,6 +14,7 @@ from clonewright.operators.directives import applied, parse_directive
 from clonewright.operators.graph import smallest_label
 from clonewright.operators.named import large_name_groups, name_groups, named_findings
 from clonewright.operators.renamed import callables, renamed_findings
+from clonewright.plans.partitions import heavy_tasks
 from clonewright.plans.pipeline import Options, cluster
 from clonewright.sources.tables import table
 from clonewright.sources.walk import scan
@@ -53,7 +54,8 @@ def definition_loc(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_sources(spark: SparkSession, d: str) -> DataFrame:
     newest = Window.partitionBy("file").orderBy(F.col("scanned_at").desc_nulls_last())
-    files = table(spark, d, "source_files").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") == 1)
+    spread_out = table(spark, d, "source_files").repartition(heavy_tasks(spark), "file")
+    files = spread_out.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") == 1)
     return scan(files.select("lang", "file", "content")).select("lang", F.col("kind.id").alias("kind_id"), "name", "file", "line", "col", "loc", "args", F.col("analysis").isNotNull().alias("analysed"))
 
 

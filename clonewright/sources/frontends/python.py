@@ -125,8 +125,8 @@ def count_parameters(args: ast.arguments) -> int:
 def _callable(source: _Source, node, kind: str, name: str, strip: bool) -> Definition:
     raw = source.raw(kind, name, node)
     try:
-        bare = without_receiver(node) if strip else node
-        canonical, analysis = dumped(bare), analysed(bare)
+        plain = _plain(without_receiver(node) if strip else node)
+        canonical, analysis = ast.dump(plain, annotate_fields=False), analysed(plain)
     except (RecursionError, ValueError):
         canonical, analysis = raw.text, None
     return Definition(kind, name, raw.line, raw.col, count_parameters(node.args), raw.text, canonical, analysis)
@@ -150,22 +150,31 @@ def without_receiver(node):
     return out
 
 
-class _Undocumented(ast.NodeTransformer):
-    """Docstrings removed; a body left empty passes."""
+def _copied(node: ast.AST) -> ast.AST:
+    """A copy without docstrings and string prefixes; a body left empty passes."""
+    fields = {}
+    for name, value in node.__dict__.items():
+        if isinstance(value, ast.AST):
+            fields[name] = _copied(value)
+        elif isinstance(value, list):
+            fields[name] = [_copied(x) if isinstance(x, ast.AST) else x for x in value]
+        else:
+            fields[name] = value
+    if isinstance(node, _SCOPES) and node.body and _is_docstring(node.body[0]):
+        fields["body"] = fields["body"][1:] or [ast.Pass(lineno=node.lineno, col_offset=0)]
+    if isinstance(node, ast.Constant):
+        fields["kind"] = None
+    out = node.__class__.__new__(node.__class__)
+    out.__dict__.update(fields)
+    return out
 
-    def visit(self, node: ast.AST) -> ast.AST:
-        self.generic_visit(node)
-        if isinstance(node, _SCOPES) and node.body:
-            first = node.body[0]
-            if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                node.body = node.body[1:] or [ast.Pass()]
-        if isinstance(node, ast.Constant):
-            node.kind = None
-        return node
+
+def _is_docstring(node: ast.stmt) -> bool:
+    return isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
 
 
 def _plain(node: ast.AST) -> ast.AST:
-    out = _Undocumented().visit(copy.deepcopy(node))
+    out = _copied(node)
     out.decorator_list = []
     return out
 
@@ -235,9 +244,8 @@ class _Renamed(ast.NodeTransformer):
         return node
 
 
-def analysed(node) -> Analysis:
-    """The callable under neutral names: its dump, its lines, and its number of nodes."""
-    plain = _plain(node)
+def analysed(plain) -> Analysis:
+    """The callable under neutral names, which its tree takes on: its dump, its lines, and its number of nodes."""
     renamed = _Renamed(_Bound(plain).names).visit(plain)
     renamed.name = "_fn"
     canonical = ast.dump(renamed, annotate_fields=False)
