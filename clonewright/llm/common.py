@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clonewright.plans.partitions import spread
+
 #: Words: maximal runs of these after lower-casing.
 WORDS = re.compile("[a-z0-9_]+")
 
@@ -60,9 +62,10 @@ def field_values(definitions: DataFrame, fields: dict[str, Column]) -> DataFrame
 
     The fields come out of one scan; rows with a null id or value drop out.
     """
-    pairs = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in fields.items()])
+    own = definitions.where(F.col("def_id").isNotNull()).select("def_id", *[value.alias(name) for name, value in fields.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("value")) for name in fields])
     return (
-        definitions.where(F.col("def_id").isNotNull())
+        spread(own)
         .select("def_id", F.explode(pairs).alias("_fv"))
         .select(F.col("_fv.field").alias("field"), "def_id", F.col("_fv.value").alias("value"))
         .where(F.col("value").isNotNull())

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonewright.plans.partitions import spread
+
 WORD = re.compile("[A-Za-z0-9]+")
 
 
@@ -83,7 +85,7 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = 13, max_item_words:
             )
 
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return rows.mapInArrow(scan, "doc_id long, item_id long, first_word int, n_words int").distinct()
+    return spread(rows).mapInArrow(scan, "doc_id long, item_id long, first_word int, n_words int").distinct()
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:

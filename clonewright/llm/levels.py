@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonewright.plans.partitions import spread
 from clonewright.plans.scratch import materialise
 
 CELL = re.compile(r"^# %% \[(\w+)\].*$", re.M)
@@ -120,7 +121,7 @@ def reading_grades(documents: DataFrame) -> DataFrame:
 
     Documents without prose, and null texts, have 0 words and null grades.
     """
-    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_grade_stage, _SCHEMA)
+    return spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInArrow(_grade_stage, _SCHEMA)
 
 
 def level_borders(histogram: list[tuple[int, int, int]], levels: int) -> list[int]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonewright.plans.partitions import spread
 from clonewright.plans.scratch import materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,7 +37,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.mapInArrow(stage, "doc_id long, n_tokens long").withColumn("part", F.spark_partition_id())
+    return spread(rows).mapInArrow(stage, "doc_id long, n_tokens long").withColumn("part", F.spark_partition_id())
 
 
 def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonewright.plans.partitions import spread
 from clonewright.plans.scratch import discard, materialise
 
 # Names of folders and files that tools write by convention.
@@ -156,7 +157,7 @@ def _feature_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def features(files: DataFrame) -> DataFrame:
     """(file, repo, reasons, leaf): one row per path, from its latest scan. Contents stay in the task that reads them."""
     rows = files.where(F.col("file").isNotNull()).select("file", "repo", "content", F.unix_micros("scanned_at").alias("scanned_at"))
-    found = rows.mapInArrow(_feature_stage, "file string, repo string, scanned_at long, reasons array<string>, leaf binary")
+    found = spread(rows).mapInArrow(_feature_stage, "file string, repo string, scanned_at long, reasons array<string>, leaf binary")
     newest = F.max(F.struct("scanned_at", "repo", "reasons", "leaf")).alias("s")
     return found.groupBy("file").agg(newest).select("file", "s.repo", "s.reasons", "s.leaf")
 
