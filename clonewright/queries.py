@@ -89,12 +89,10 @@ def type3_line_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type3_cosines(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    counted = lines.groupBy(F.col("def_id").alias("seq"), "line").agg(F.count(F.lit(1)).alias("k"))
-    cells = counted.join(nearcopy.line_weights(lines), "line").select("seq", "line", "occurrences", (F.col("k") * F.col("weight")).alias("w"))
-    norms = cells.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    pairs = nearcopy.cosine_pairs(cells.join(norms, "seq"), 0.7)
-    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+    own = callables(_defs(spark, d)).where(F.size("analysis.type3_lines") >= 3)
+    sequences = own.select(F.col("def_id").alias("seq"), F.col("analysis.type3_lines").alias("lines"))
+    cells = nearcopy.line_vectors(sequences, nearcopy.line_weights(sequences.select(F.explode("lines").alias("line"))))
+    return nearcopy.cosine_pairs(cells, 0.7).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def component_labels(spark: SparkSession, d: str) -> DataFrame:
