@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clonewright.functions.canonical import analysed
 from clonewright.functions.model import distinct_definitions, kind_column
 from clonewright.functions.scoring import graded, loc, section_index, thickness
 from clonewright.operators import calibration, nearcopy
@@ -59,6 +60,13 @@ def scan_sources(spark: SparkSession, d: str) -> DataFrame:
     return scan(files.select("lang", "file", "content")).select("lang", F.col("kind.id").alias("kind_id"), "name", "file", "line", "col", "loc", "args", F.col("analysis").isNotNull().alias("analysed"))
 
 
+def canonical_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Python callables analysed anew from their text."""
+    own = _defs(spark, d).where((F.col("lang") == "py") & F.col("kind.fn_like") & F.col("text_orig").isNotNull())
+    a = analysed("py")(F.col("text_orig")).alias("a")
+    return own.repartition(heavy_tasks(spark), "def_id").select("def_id", a).where(F.col("a.size").isNotNull()).select("def_id", F.md5("a.xname_canonical").alias("xname"), F.size("a.type3_lines").alias("n_lines"), "a.size")
+
+
 def pass_named(spark: SparkSession, d: str) -> DataFrame:
     return _summary(named_findings(_defs(spark, d), max_group=NAME_CAP))
 
@@ -149,7 +157,7 @@ def all_passes(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        definition_loc, scan_sources, pass_named, pass_renamed, pass_type3, name_group_sizes, large_groups, type3_line_weights, type3_cosines,
+        definition_loc, scan_sources, canonical_forms, pass_named, pass_renamed, pass_type3, name_group_sizes, large_groups, type3_line_weights, type3_cosines,
         component_labels, thickness_scores, severity_ladder, directives_applied, thickness_histogram, threshold_suggestions, path_predicates,
         inferred_directives, vendored_roots, all_passes,
     )

@@ -181,3 +181,34 @@ fn f<'a, T>(x: &'a mut Vec<Vec<T>>, g: impl Fn(i32) -> i32) -> Result<(), Box<dy
 }
 """
     assert set(rs(text)) == {("functions", "f")}
+
+
+def test_column_functions(spark):
+    from clonewright.functions.canonical import analysed, canonical
+
+    texts = ["def add(a, b):\n    c = a + b\n    return c\n", "def plus(x, y):\n    z = x + y\n    return z\n", "not python (", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", canonical("py")("text").alias("c"), analysed("py")("text").alias("a")).collect()
+    assert rows[0].a.xname_canonical == rows[1].a.xname_canonical and rows[0].c != rows[1].c and rows[0].a.size > 0
+    assert rows[2].c == texts[2] and rows[2].a.size is None and rows[3].c is None and rows[4].c == ""
+
+
+def test_register_a_language(spark):
+    from clonewright.sources.frontends import register
+    from clonewright.sources.frontends.base import Definition
+    from clonewright.sources.walk import scan
+
+    class Lines:
+        lang, extensions, kinds = "txt", (".txt",), ("constants",)
+
+        def scan(self, path, text):
+            return [Definition("constants", x, i, 0, 0, x) for i, x in enumerate(text.split())]
+
+    with pytest.raises(ValueError, match="taken"):
+        register(PythonFrontend())
+    register(Lines())
+    try:
+        df = spark.createDataFrame([("txt", "a.txt", "B A")], "lang string, file string, content string")
+        assert [(r.name, r.line) for r in scan(df).collect()] == [("B", 0), ("A", 1)]
+    finally:
+        del FRONTENDS["txt"]
