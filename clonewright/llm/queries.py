@@ -143,6 +143,14 @@ def p10_agreement(spark: SparkSession, d: str) -> DataFrame:
     return levels.agreement(spark, _p10_levels(spark, d), table(spark, d, "level_labels"))
 
 
+def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement on the half of the labelled documents that the borders were not fitted to."""
+    labels = table(spark, d, "level_labels")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    fitted = levels.reading_levels(table(spark, d, "documents"), labels.where(half == 0))
+    return levels.agreement(spark, fitted, labels.where(half == 1))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -166,6 +174,7 @@ def queries() -> dict[str, Query]:
         "p10_levels": p10_levels,
         "p10_profile": p10_profile,
         "p10_agreement": p10_agreement,
+        "p10_held_out": p10_held_out,
     }
 
 

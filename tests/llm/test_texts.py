@@ -178,6 +178,23 @@ def test_reading_levels(spark):
     assert seen[None] == 3 and sum(seen.values()) == 44
 
 
+def test_levels_hold_on_documents_left_out(spark, tmp_path):
+    from clonewright.llm import queries
+
+    draw = random.Random(3)
+    short, long = ["cat", "dog", "sun", "red", "big"], ["representativeness", "multicollinearity", "approximation", "necessitates", "differentiability"]
+    rows, labels = [], []
+    for i in range(300):
+        level = 1 + i % 6
+        words = [draw.choice(long if draw.random() < (level - 1) / 6 else short) for _ in range(120)]
+        rows.append((i, " ".join(" ".join(words[k : k + 4 + level]) + "." for k in range(0, 120, 4 + level))))
+        labels.append((i, "r", min(6, max(1, level + draw.choice([0, 0, 0, 1, -1]))), 0))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, rater string, level_no int, rated_at long").write.parquet(str(tmp_path / "level_labels.parquet"))
+    got = queries.p10_held_out(spark, str(tmp_path)).first()
+    assert got.n > 100 and got.within_one > 0.9 and got.mean_error < 0.8
+
+
 HAND = "import a\n\ndef first(x):\n    return [x * 2 for y in range(10) if y]\n\ndef second(value):\n    total = value + 1\n    return total\n"
 NUMBERED = "".join(f"def make_row{k:03d}(x):\n    return x.field_{k} + {k}\n" for k in range(7, 12))
 
