@@ -43,7 +43,8 @@ VENDORED_NOTE = re.compile(
     re.I,
 )
 
-COMMENT = re.compile(r"^\s*(#|//|/\*+!?|\*(?!/)|--|;;|<!--|\"\"\"|''')\s*(.*?)\s*(\*/|-->|\"\"\"|''')?\s*$")
+COMMENT = re.compile(r"\s*(?:#|//|/\*+!?|\*(?!/)|--|;;|<!--|\"\"\"|''')")
+CLOSERS = ("*/", "-->", '"""', "'''")
 IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
 DECLARED = re.compile(r"\b(?:def|function|fn|class|struct|enum|trait|interface)\s+([A-Za-z_]\w*)")
 NUMBERED = re.compile(r"^(.*?[A-Za-z_])(\d+)$")
@@ -58,7 +59,14 @@ def notes(lines: list[str]) -> list[str]:
     """Texts of the comments among the first and the last lines that hold anything."""
     filled = [x for x in lines if x.strip()]
     near = filled[:HEAD_LINES] + filled[max(HEAD_LINES, len(filled) - TAIL_LINES) :]
-    return [m.group(2) for m in map(COMMENT.match, near) if m]
+    out = []
+    for line in near:
+        if opened := COMMENT.match(line):
+            text = line[opened.end() :].strip()
+            for end in CLOSERS:
+                text = text.removesuffix(end)
+            out.append(text.strip())
+    return out
 
 
 def is_numbered_series(names: list[str], least: int = 3) -> bool:
