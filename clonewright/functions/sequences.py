@@ -20,6 +20,8 @@ def longest_block(a: str, b: str) -> tuple[int, int, int]:
     A bisection on the length, each step a set of substrings: near linear,
     where tabulating all pairs of places is quadratic.
     """
+    if set(a).isdisjoint(b):
+        return 0, 0, 0
     low, high, place = 0, min(len(a), len(b)) + 1, 0
     while high - low > 1:
         k = (low + high) // 2
@@ -37,10 +39,9 @@ def matching_characters(a: str, b: str) -> int:
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
-        if not x or not y:
-            continue
-        if len(x) == 1 or len(y) == 1:
-            total += x in y if len(x) == 1 else y in x
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        if short in long:
+            total += len(short)
             continue
         i, j, k = longest_block(x, y)
         if k:
