@@ -277,7 +277,7 @@ FROM scored s JOIN cuts c ON s.kind = c.kind AND s.severity = c.severity GROUP B
         "p6_shares": _RUNS_6
         + """, gaps AS (
   SELECT *, start - lag(start) OVER (PARTITION BY field, def_id ORDER BY start) AS gap FROM (SELECT DISTINCT field, def_id, n_chars, start FROM hit))
-SELECT field, def_id, any_value(n_chars) AS n_chars, sum(CASE WHEN gap IS NULL THEN 240 ELSE least(gap, 240) END)::BIGINT AS n_shared,
+SELECT field, def_id, any_value(n_chars)::INT AS n_chars, sum(CASE WHEN gap IS NULL THEN 240 ELSE least(gap, 240) END)::BIGINT AS n_shared,
   count(*) FILTER (WHERE gap IS NULL OR gap > 240) AS n_spans FROM gaps GROUP BY field, def_id""",
         "p7_found": _FOUND_7 + "SELECT field, keep_id, def_id FROM k WHERE def_id > keep_id",
         "p7_copies": _FOUND_7 + "SELECT field, keep_id, count(*) AS copies FROM k GROUP BY field, keep_id HAVING count(*) > 1",
