@@ -214,7 +214,7 @@ _RUNS_6 = """
 WITH v AS (
   SELECT DISTINCT 'text_orig' AS field, def_id, text_orig AS value FROM definitions WHERE text_orig IS NOT NULL
   UNION SELECT DISTINCT 'type3_lines', def_id, array_to_string(analysis.type3_lines, chr(10)) FROM definitions WHERE analysis.type3_lines IS NOT NULL),
-r AS (SELECT field, def_id, length(value) AS n_chars, start, hash(substring(value, start::INT, 240)) AS h
+r AS (SELECT field, def_id, length(value) AS n_chars, start, md5(substring(value, start::INT, 240)) AS h
   FROM v, range(1, length(value) - 238) t(start) WHERE length(value) >= 240),
 twice AS (SELECT field, h FROM r GROUP BY ALL HAVING min(def_id) < max(def_id)),
 hit AS (SELECT r.* FROM r JOIN twice USING (field, h))
