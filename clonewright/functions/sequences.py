@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 def _first_shared(a: str, b: str, k: int) -> int:
     """The first place of ``a`` whose next ``k`` characters stand anywhere in ``b``, or -1."""
@@ -14,15 +19,18 @@ def _first_shared(a: str, b: str, k: int) -> int:
     return next((i for i in range(len(a) - k + 1) if a[i : i + k] in parts), -1)
 
 
-def longest_block(a: str, b: str) -> tuple[int, int, int]:
+def longest_block(a: str, b: str, under: int | None = None) -> tuple[int, int, int]:
     """(i, j, k): the longest string in both, earliest in ``a`` and then in ``b``; k is 0 if they share nothing.
 
+    ``under``: a length that is known not to be reached.
+
     A bisection on the length, each step a set of substrings: near linear,
     where tabulating all pairs of places is quadratic.
     """
     if set(a).isdisjoint(b):
         return 0, 0, 0
     low, high, place = 0, min(len(a), len(b)) + 1, 0
+    high = high if under is None else min(high, under)
     while high - low > 1:
         k = (low + high) // 2
         i = _first_shared(a, b, k)
@@ -90,6 +98,167 @@ class Comparer:
         return len(self.text) - rows.bit_count()
 
 
+class Texts:
+    """Texts over one alphabet, for many comparisons with each other."""
+
+    #: Pairs of places held at once; texts that share more are first cut by ``longest_block``.
+    TABLE = 4_000_000
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        letters = np.array(sorted({ord(c) for t in texts for c in t}), dtype=np.uint32)
+        self._letters = len(letters)
+        self._codes = [np.searchsorted(letters, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in texts]
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self._bags = np.array([self._bag(c) for c in self._codes])
+        self._threes = [(c[:-2] * self._letters + c[1:-1]) * self._letters + c[2:] for c in self._codes]
+        self._orders = [np.argsort(t, kind="stable") for t in self._threes]
+
+    def _bag(self, codes: np.ndarray) -> np.ndarray:
+        return np.bincount(codes, minlength=self._letters)
+
+    def letters_bound(self, i: int, j: int) -> float:
+        """An upper bound of the ratio of (i, j) by counts of letters."""
+        return 2.0 * float(np.minimum(self._bags[i], self._bags[j]).sum()) / max(1, int(self.lengths[i] + self.lengths[j]))
+
+    def beside(self, others: list[int]) -> tuple:
+        """Texts side by side in one integer, a spare bit after each for the carry: their numbers, first bytes, letters and places of each letter."""
+        starts, at = [], 0
+        for k in others:
+            starts.append(at)
+            at += len(self.texts[k]) // 8 + 1
+        places: dict[str, bytearray] = {}
+        for k, s in zip(others, starts, strict=True):
+            for i, c in enumerate(self.texts[k], 8 * s):
+                if c not in places:
+                    places[c] = bytearray(at)
+                places[c][i >> 3] |= 1 << (i & 7)
+        where = {c: int.from_bytes(p, "little") for c, p in places.items()}
+        mask = 0
+        for p in where.values():
+            mask |= p
+        return np.array(others), starts, mask, where, at
+
+    def bounds(self, j: int, beside: tuple, enough: float) -> np.ndarray:
+        """Upper bounds of the ratios of text ``j`` and each of the texts of ``beside``: letters, then common subsequences if any is left at ``enough``."""
+        others, starts, mask, where, at = beside
+        total = self.lengths[others] + self.lengths[j]
+        some = np.maximum(total, 1)
+        found = np.where(total == 0, 1.0, 2.0 * np.minimum(self._bags[others], self._bags[j]).sum(axis=1) / some)
+        if (found >= enough).any() and self.lengths[j]:
+            rows = mask
+            for c in self.texts[j]:
+                hit = rows & where.get(c, 0)
+                rows = ((rows + hit) | (rows - hit)) & mask
+            ones = np.bitwise_count(np.frombuffer(rows.to_bytes(at, "little"), np.uint8)).astype(np.int64)
+            found = np.where(total == 0, 1.0, 2.0 * (self.lengths[others] - np.add.reduceat(ones, starts)) / some)
+        return found
+
+    def ratio(self, i: int, j: int, least: float = 0.0, enough: float = 2.0) -> float:
+        """The exact ratio of (i, j) if it is from ``least`` to under ``enough``; else some number on the same side of them."""
+        if self.texts[i] == self.texts[j]:
+            return 1.0
+        total = int(self.lengths[i] + self.lengths[j])
+        # a hair of slack, so that rounding never cuts what stands on a border
+        return 2.0 * self._matches(i, j, least * total / 2 - 1e-6, enough * total / 2 + 1e-6) / total
+
+    def _matches(self, i: int, j: int, least: float, enough: float) -> int:
+        a, b = self._codes[i], self._codes[j]
+        most = int(np.minimum(self._bags[i], self._bags[j]).sum())
+        matched, open_ = 0, [(-most, 0, len(a), 0, len(b), None)]
+        # ``most``: what is matched and what the letters of the open parts allow at best
+        while open_ and matched < enough and most >= least:
+            bound, i0, i1, j0, j1, runs = heapq.heappop(open_)
+            p, q, k, runs = self._longest(i, j, i0, i1, j0, j1, runs)
+            most += bound + k
+            matched += k
+            if not k:
+                continue
+            for part in ((i0, p, j0, q), (p + k, i1, q + k, j1)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    allowed = int(np.minimum(self._bag(a[part[0] : part[1]]), self._bag(b[part[2] : part[3]])).sum())
+                    if allowed:
+                        most += allowed
+                        heapq.heappush(open_, (-allowed, *part, runs))
+        return most if most < least else matched
+
+    def _longest(self, i: int, j: int, i0: int, i1: int, j0: int, j1: int, runs: Runs | None) -> tuple[int, int, int, Runs | None]:
+        """(place in i, place in j, length) of the longest block of a part, and the runs that its parts hold."""
+        runs = self._runs(i, j, i0, i1, j0, j1) if runs is None else runs
+        if runs is not None:
+            at, other, length = runs
+            start = np.maximum(at, np.maximum(i0, at - other + j0))
+            end = np.minimum(at + length, np.minimum(i1, at - other + j1))
+            size = end - start
+            inside = size >= 3
+            if inside.any():
+                at, other, length = at[inside], other[inside], length[inside]
+                start, size = start[inside], size[inside]
+                k = int(size.max())
+                tied = np.flatnonzero(size == k)
+                p = int(start[tied].min())
+                q = int((other + start - at)[tied][start[tied] == p].min())
+                return p, q, k, (at, other, length)
+        p, q, k = longest_block(self.texts[i][i0:i1], self.texts[j][j0:j1], 3 if runs is not None else None)
+        return i0 + p, j0 + q, k, runs
+
+    def _runs(self, i: int, j: int, i0: int, i1: int, j0: int, j1: int) -> Runs | None:
+        """(place in i, place in j, length) of all common runs of three letters or more in a part, each as long as it goes; None if they are too many."""
+        a, b = self._threes[i][i0 : max(i0, i1 - 2)], self._threes[j][j0 : max(j0, j1 - 2)]
+        order = self._orders[j] if len(b) == len(self._threes[j]) else np.argsort(b, kind="stable")
+        ranked = b[order]
+        low = np.searchsorted(ranked, a, "left")
+        hits = np.searchsorted(ranked, a, "right") - low
+        n = int(hits.sum())
+        if n > self.TABLE:
+            return None
+        x = np.repeat(np.arange(len(a)), hits)
+        y = order[np.arange(n) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits)]
+        # places on one diagonal in a row are one run
+        width = len(a) + 1
+        key = np.sort((y - x + len(a)) * width + x)
+        new = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+        start = key[new] % width
+        return start + i0, key[new] // width - len(a) + start + j0, np.diff(new, append=n) + 2
+
+
+def links(texts: list[str], left: list[int], right: list[int], floor: float) -> list[tuple[int, int]]:
+    """Pairs of numbers that join all of ``left`` and ``right`` that ratios of ``floor`` or more between the two lists join; the text that comes first is the first string."""
+    if floor <= 0:
+        return [(left[0], k) for k in {*left, *right} if k != left[0]]
+    every = Texts(texts)
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    beside = every.beside(left)
+    for j in right:
+        bounds = every.bounds(j, beside, floor)
+        for place in np.argsort(-bounds, kind="stable"):
+            i = left[place]
+            if bounds[place] < floor:
+                break
+            if find(i) != find(j) and every.ratio(min(i, j), max(i, j), floor, floor) >= floor:
+                root[find(i)] = find(j)
+                out.append((i, j))
+    return out
+
+
+def least_ratio(texts: list[str], left: list[int], right: list[int]) -> float:
+    """The least ratio of a text of ``left`` and one of ``right``; the text that comes first is the first string."""
+    every = Texts(texts)
+    pairs = sorted((every.letters_bound(i, j), i, j) for i, j in {(min(i, j), max(i, j)) for i in left for j in right if i != j})
+    least = 1.0
+    for _, i, j in pairs:
+        least = min(least, every.ratio(i, j, enough=least))
+    return least
+
+
 def single_linkage(texts: list[str], floor: float) -> list[tuple[list[int], float]]:
     """Clusters of at least two texts linked by ratios of ``floor`` or more, with the least ratio of any two members.
 

@@ -22,7 +22,7 @@ from clonewright.sources.walk import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Names shared by more definitions than this are left to ``large_name_groups``, as the pipeline's own suggestion has it.
+#: The cap of ``all_passes``: names shared by more definitions are left to ``large_name_groups``.
 NAME_CAP = 100
 RULES = ("suppress:*:*@*/tests/*=test code", "de-escalate:FUNCTION:*@*/tools/*=tooling", "escalate:METHOD:*", "note:CLASS:*=class")
 
@@ -68,7 +68,7 @@ def canonical_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pass_named(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(named_findings(_defs(spark, d), max_group=NAME_CAP))
+    return _summary(named_findings(_defs(spark, d)))
 
 
 def pass_renamed(spark: SparkSession, d: str) -> DataFrame:
