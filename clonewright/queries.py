@@ -16,14 +16,12 @@ from clonewright.operators.graph import smallest_label
 from clonewright.operators.named import large_name_groups, name_groups, named_findings
 from clonewright.operators.renamed import callables, renamed_findings
 from clonewright.plans.partitions import heavy_tasks
-from clonewright.plans.pipeline import Options, cluster
+from clonewright.plans.pipeline import cluster
 from clonewright.sources.tables import table
 from clonewright.sources.walk import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The cap of ``all_passes``: names shared by more definitions are left to ``large_name_groups``.
-NAME_CAP = 100
 RULES = ("suppress:*:*@*/tests/*=test code", "de-escalate:FUNCTION:*@*/tools/*=tooling", "escalate:METHOD:*", "note:CLASS:*=class")
 
 
@@ -151,7 +149,7 @@ def vendored_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_passes(spark: SparkSession, d: str) -> DataFrame:
-    found = cluster(_defs(spark, d), Options(max_name_group=NAME_CAP))
+    found = cluster(_defs(spark, d))
     return found.groupBy("pass", F.col("kind.id").alias("kind_id"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
 

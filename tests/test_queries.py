@@ -34,6 +34,11 @@ def test_pass_named_keeps_names_of_any_size(spark, hot):
     assert got["main"].n == 120 and got["main"].min_sim == round(120 / 122, 6)
 
 
+def test_all_passes_counts_names_of_any_size(spark, hot):
+    got = {(r["pass"], r.kind_id): r.n for r in queries.all_passes(spark, hot).groupBy("pass", "kind_id").agg(F.sum("n").alias("n")).collect()}
+    assert got == {("name", "functions"): 2}
+
+
 @pytest.mark.parametrize("most", [20, 4_000_000])
 def test_block_comparisons_match_difflib(monkeypatch, most):
     monkeypatch.setattr(Texts, "TABLE", most)
