@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from clonewright.operators.named import large_name_groups, name_groups, named_fi
 from clonewright.operators.renamed import callables, renamed_findings
 from clonewright.plans.partitions import heavy_tasks
 from clonewright.plans.pipeline import cluster
+from clonewright.sources.frontends import FRONTENDS
 from clonewright.sources.tables import table
 from clonewright.sources.walk import scan
 
@@ -59,10 +61,14 @@ def scan_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Python callables analysed anew from their text."""
-    own = _defs(spark, d).where((F.col("lang") == "py") & F.col("kind.fn_like") & F.col("text_orig").isNotNull())
-    a = analysed("py")(F.col("text_orig")).alias("a")
-    return own.repartition(heavy_tasks(spark), "def_id").select("def_id", a).where(F.col("a.size").isNotNull()).select("def_id", F.md5("a.xname_canonical").alias("xname"), F.size("a.type3_lines").alias("n_lines"), "a.size")
+    """Callables of every language analysed anew from their text."""
+    own = _defs(spark, d).where(F.col("lang").isin(list(FRONTENDS)) & F.col("kind.fn_like") & F.col("text_orig").isNotNull())
+    own = own.repartition(heavy_tasks(spark), "def_id")
+    forms = []
+    for lang in FRONTENDS:
+        rows = own.where(F.col("lang") == lang).select("def_id", analysed(lang)(F.col("text_orig")).alias("a"))
+        forms.append(rows.where(F.col("a.size").isNotNull()).select("def_id", F.md5("a.xname_canonical").alias("xname"), F.size("a.type3_lines").alias("n_lines"), "a.size"))
+    return reduce(DataFrame.unionByName, forms)
 
 
 def pass_named(spark: SparkSession, d: str) -> DataFrame:

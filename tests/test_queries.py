@@ -62,3 +62,12 @@ def test_block_comparisons_match_difflib(monkeypatch, most):
     across = {p: r for p, r in pairs.items() if (p[0] + p[1]) % 2}
     assert brute_labels(links(texts, left, right, 0.6)) == brute_labels([p for p, r in across.items() if r >= 0.6])
     assert least_ratio(texts, left, right) == min(across.values())
+
+
+def test_canonical_forms_of_every_language(spark, tmp_path):
+    texts = {"py": "def f(a):\n    b = a + 1\n    return b\n", "ts": "function f(a) {\n  const b = a + 1;\n  return b;\n}\n", "rs": "fn f(a: i32) -> i32 {\n    let b = a + 1;\n    b\n}\n"}
+    rows = [(r[0], lang, *r[2:]) for i, (lang, t) in enumerate(texts.items()) for r in [row(i, "f", text=t)]]
+    definitions(spark, str(tmp_path), [*rows, row(9, "broken", text="def f(")])
+    got = {r.def_id: r for r in queries.canonical_forms(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2}
+    assert all(r.xname and r.n_lines > 0 and r.size > 0 for r in got.values())
