@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clonewright import queries
 from clonewright.functions.model import DEFINITION_SCHEMA
-from clonewright.functions.sequences import Texts, least_ratio, links
+from clonewright.kernels import kernel
 
 from test_passes import brute_labels, row
 
@@ -39,29 +39,56 @@ def test_all_passes_counts_names_of_any_size(spark, hot):
     assert got == {("name", "functions"): 2}
 
 
-@pytest.mark.parametrize("most", [20, 4_000_000])
-def test_block_comparisons_match_difflib(monkeypatch, most):
-    monkeypatch.setattr(Texts, "TABLE", most)
-    draw = random.Random(6)
+def clusters(spark, texts, floor):
+    """(members, least ratio) of every cluster that the kernel finds, by first member."""
+    made = kernel(spark, "NameClusters", "array<struct<rep:bigint,cluster:bigint,min_sim:double>>")
+    one = spark.createDataFrame([(list(range(len(texts))), texts, floor)], "reps array<bigint>, texts array<string>, floor double")
+    found = {}
+    for r in one.select(F.inline(made("reps", "texts", "floor"))).collect():
+        found.setdefault((r.cluster, r.min_sim), []).append(r.rep)
+    return sorted((own, least) for (_, least), own in found.items())
+
+
+def texts_of(seed):
+    draw = random.Random(seed)
     texts = ["", "a"]
-    for letters in ("ab", "abcdef", "abcdefghi é漢"):
-        base = [draw.choice(letters) for _ in range(40)]
-        for _ in range(7):
-            own = [c for c in base if draw.random() < 0.8]
+    for letters in ("ab", "abcdef", "abcdefghi \u00e9\u6f22\U0001f600"):
+        base = [draw.choice(letters) for _ in range(60)]
+        for _ in range(8):
+            own = [c for c in base if draw.random() < 0.85]
             own.insert(draw.randrange(len(own)), draw.choice(letters))
             texts.append("".join(own))
-    every, n = Texts(texts), len(texts)
-    pairs = {(i, j): ratio(texts[i], texts[j]) for j in range(n) for i in range(j)}
-    beside = every.beside(list(range(n)))
-    for (i, j), want in pairs.items():
-        assert every.ratio(i, j) == want and every.bounds(j, beside, 0.5)[i] >= want
-        low, high = every.ratio(i, j, least=0.5), every.ratio(i, j, enough=0.5)
-        assert low == want if want >= 0.5 else low < 0.5
-        assert high == want if want < 0.5 else high >= 0.5
-    left, right = list(range(0, n, 2)), list(range(1, n, 2))
-    across = {p: r for p, r in pairs.items() if (p[0] + p[1]) % 2}
-    assert brute_labels(links(texts, left, right, 0.6)) == brute_labels([p for p, r in across.items() if r >= 0.6])
-    assert least_ratio(texts, left, right) == min(across.values())
+    return texts
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.4, 0.6, 0.8, 0.95])
+def test_kernel_clusters_match_difflib(spark, floor):
+    texts = texts_of(6)
+    pairs = {(i, j): ratio(texts[i], texts[j]) for j in range(len(texts)) for i in range(j)}
+    label = brute_labels([p for p, r in pairs.items() if r >= floor])
+    want = []
+    for k in sorted(set(label.values())):
+        own = sorted(i for i, x in label.items() if x == k)
+        want.append((own, min(pairs[i, j] for y, j in enumerate(own) for i in own[:y])))
+    assert clusters(spark, texts, floor) == want
+
+
+def test_kernels_of_two_sides_match_difflib(spark):
+    texts = texts_of(7)
+    sides = [i % 2 for i in range(len(texts))]
+    across = {(i, j): ratio(texts[i], texts[j]) for j in range(len(texts)) for i in range(j) if sides[i] != sides[j]}
+    one = spark.createDataFrame([(list(range(len(texts))), texts, sides)], "reps array<bigint>, texts array<string>, sides array<bigint>")
+    joined = kernel(spark, "BlockLinks", "array<struct<a:bigint,b:bigint>>")
+    edges = [(r.a, r.b) for r in one.select(F.inline(joined("reps", "texts", "sides", F.lit(0.6)))).collect()]
+    assert brute_labels(edges) == brute_labels([p for p, r in across.items() if r >= 0.6])
+    least = kernel(spark, "BlockLeast", "double")
+    assert one.select(least("texts", "sides", F.lit(1.0))).first()[0] == min(across.values())
+
+
+def test_long_repetitive_texts_go_through_the_automaton(spark):
+    a, b, c = "ab" * 6000, "ab" * 5000, "x" + "ab" * 5500
+    assert clusters(spark, [a, b], 0.5) == [([0, 1], 2 * 10000 / 22000)]
+    assert clusters(spark, [a, c], 0.5) == [([0, 1], 2 * 11000 / 23001)]
 
 
 def test_canonical_forms_of_every_language(spark, tmp_path):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from clonewright.functions.globs import alternatives, matches
 from clonewright.functions.scoring import graded, step, thickness
-from clonewright.functions.sequences import Comparer, single_linkage
 from clonewright.operators.directives import Directive, DirectiveError, applied, parse_directive, settings
 from clonewright.plans import render
 
@@ -64,40 +63,6 @@ def test_applied(spark):
     assert applied(out, []) is out
 
 
-def test_ratio_matches_difflib_and_bounds_hold():
-    import difflib
-    import random
-
-    draw = random.Random(5)
-    for _ in range(60):
-        a, b = ("".join(draw.choice("abcd ") for _ in range(draw.randrange(0, 60))) for _ in range(2))
-        want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-        c = Comparer(b)
-        assert c.ratio(a) == want and c.bound(a, 0.0) >= want - 1e-12
-
-
-def test_single_linkage_against_brute_force():
-    import difflib
-    import random
-
-    draw = random.Random(7)
-    texts = ["".join(draw.choice("ab") for _ in range(12)) for _ in range(14)] + ["", ""]
-    ratio = lambda i, j: difflib.SequenceMatcher(None, texts[i], texts[j], autojunk=False).ratio()
-    for floor in (0.0, 0.7, 0.8, 0.95):
-        label = list(range(len(texts)))
-        for _ in texts:
-            for i in range(len(texts)):
-                for j in range(i + 1, len(texts)):
-                    if floor <= 0 or ratio(i, j) >= floor:
-                        label[i] = label[j] = min(label[i], label[j])
-        want = []
-        for k in sorted(set(label)):
-            group = [i for i in range(len(texts)) if label[i] == k]
-            if len(group) > 1:
-                want.append((group, min(ratio(i, j) for y, j in enumerate(group) for i in group[:y])))
-        assert single_linkage(texts, floor) == want
-
-
 def test_rendering_helpers():
     assert render.locations(["a:1", "a:2", "b:3", "c:4"]) == "a:1, :2, b:3 (+1 more)" and render.locations([]) == ""
     assert render.dedented("def f(self):\n        x\n\n        y") == "def f(self):\n    x\n\n    y"
