@@ -196,7 +196,7 @@ def vendored_roots(findings: DataFrame, least: int = VENDORED_LEAST) -> DataFram
     dirs = findings.select("severity", names.alias("names"), F.array_distinct(parts).alias("dirs"), F.monotonically_increasing_id().alias("f"))
     dirs = dirs.where((F.size("names") == 1) & (F.size("dirs") >= 2))
     ranked = F.array_sort(F.transform("dirs", lambda x: F.struct(vendored_score(x).alias("s"), F.size(F.split(x, "/")).alias("k"), x.alias("d"))))
-    rows = dirs.select("severity", ranked[0]["d"].alias("source"), F.explode(F.slice(ranked, 2, 1_000_000)).alias("o"))
+    rows = dirs.select("severity", ranked[0]["d"].alias("source"), F.explode(F.slice(ranked, F.lit(2), F.size(ranked))).alias("o"))
     rows = rows.where(F.col("o.s") > 0).select("severity", "source", F.col("o.d").alias("dir"))
     mine, theirs = F.reverse(F.split("dir", "/")), F.reverse(F.split("source", "/"))
     same = F.transform(F.arrays_zip(mine.alias("a"), theirs.alias("b")), lambda z: F.coalesce(z["a"] == z["b"], F.lit(False)))

@@ -36,8 +36,12 @@ def _loaded(spark: SparkSession, d: str) -> DataFrame:
     newest = F.max(F.struct("loaded_at", "pass", "kind", "name", "severity", "min_sim", "loc", "args", "thickness", "snippet", "notes", "members")).alias("f")
     rows = table(spark, d, "findings").where(F.col("finding_id").isNotNull()).groupBy("finding_id").agg(newest).select("finding_id", "f.*")
     whole = F.filter(F.coalesce("members", F.array()), lambda m: m.isNotNull() & m["file"].isNotNull() & m["line"].isNotNull() & m["col"].isNotNull())
-    scored = rows.where(F.col("thickness").isNotNull() & ~F.isnan("thickness"))
-    return scored.withColumn("members", whole).withColumn("kind", kind_column(F.col("kind"))).withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+    return rows.withColumn("members", whole).withColumn("kind", kind_column(F.col("kind"))).withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that have a thickness; for the operators that need one."""
+    return _loaded(spark, d).where(F.col("thickness").isNotNull() & ~F.isnan("thickness"))
 
 
 def _summary(found: DataFrame) -> DataFrame:
@@ -54,9 +58,12 @@ def definition_loc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_sources(spark: SparkSession, d: str) -> DataFrame:
-    newest = Window.partitionBy("file").orderBy(F.col("scanned_at").desc_nulls_last())
-    spread_out = table(spark, d, "source_files").repartition(heavy_tasks(spark), "file")
-    files = spread_out.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") == 1)
+    sources = table(spark, d, "source_files").where(F.col("file").isNotNull())
+    newest = F.row_number().over(Window.partitionBy("file").orderBy(F.col("scanned_at").desc_nulls_last()))
+    # the newest scan is found on times alone; contents only move to be dealt out evenly
+    last = sources.select("file", "scanned_at").withColumn("_k", newest).where("_k = 1").drop("_k")
+    same = (sources["file"] == last["file"]) & sources["scanned_at"].eqNullSafe(last["scanned_at"])
+    files = sources.join(last, same, "left_semi").repartition(heavy_tasks(spark)).dropDuplicates(["file"])
     return scan(files.select("lang", "file", "content")).select("lang", F.col("kind.id").alias("kind_id"), "name", "file", "line", "col", "loc", "args", F.col("analysis").isNotNull().alias("analysed"))
 
 
@@ -131,11 +138,11 @@ def directives_applied(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thickness_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return calibration.histogram(_loaded(spark, d)).select("bin", "n")
+    return calibration.histogram(_scored(spark, d)).select("bin", "n")
 
 
 def threshold_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    out = calibration.suggestions(_loaded(spark, d).where(F.col("severity") == "ERROR"))
+    out = calibration.suggestions(_scored(spark, d).where(F.col("severity") == "ERROR"))
     return out.select("label", "percentile", F.round("threshold", 6).alias("threshold"), "kept", "median_loc", "median_args", "name")
 
 

@@ -958,25 +958,32 @@ def last_segment(type_text: str) -> str:
     return "<ty>"
 
 
+ATOMS = {"Int", "Float", "Str", "Bool", "Char", "Byte", "ByteStr", "CStr"}
+
+
 def is_trivial(body: Node | None) -> bool:
-    """Whether a body says nothing: absent, empty, or one atom, returned atom or stub macro."""
-    if body is None or not body.fields[0]:
-        return True
-    if len(body.fields[0]) > 1:
+    """Whether a body says nothing: absent, empty, or only atoms, returned atoms and stub macros."""
+    return body is None or all(map(_says_nothing, body.fields[0]))
+
+
+def _is_stub(macro: Node) -> bool:
+    return macro.fields[0].strip("'").split("::")[-1] in STUB_MACROS
+
+
+def _says_nothing(statement: Node) -> bool:
+    if statement.tag == "MacroStmt":
+        return _is_stub(statement)
+    value = statement.fields[0] if statement.tag in ("ExprStmt", "Tail") else None
+    if not isinstance(value, Node):
         return False
-    only = body.fields[0][0]
-    value = only.fields[0] if only.fields else None
-    if only.tag == "MacroStmt":
-        return only.fields[0].strip("'").split("::")[-1] in STUB_MACROS
-    if isinstance(value, Node) and value.tag == "Return":
+    if value.tag == "Return":
         value = value.fields[0]
-        if value is None:
+        if value is None or value.tag == "Path":
             return True
-    if not isinstance(value, Node):
-        return False
     if value.tag == "Macro":
-        return value.fields[0].strip("'").split("::")[-1] in STUB_MACROS
-    return value.tag in {"Path", "Int", "Float", "Str", "Bool", "Char", "Byte", "ByteStr", "CStr"} or (value.tag == "Tuple" and not value.fields[0])
+        return _is_stub(value)
+    # a path of several parts names something elsewhere
+    return value.tag in ATOMS or (value.tag == "Path" and value.name is not None)
 
 
 def bound_names(func: Node) -> set[str]:

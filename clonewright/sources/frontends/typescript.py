@@ -1061,20 +1061,21 @@ def count_parameters(func: Node) -> int:
     return len(func.fields[0].fields[0])
 
 
+ATOMS = {"Num", "Str", "Bool", "Null", "BigInt", "Regex", "Id", "This"}
+
+
 def is_trivial(body: Node | None) -> bool:
-    """Whether a body says nothing: absent, empty, or one returned atom or thrown plain error."""
-    if body is None or not body.fields[0]:
-        return True
-    if len(body.fields[0]) > 1:
-        return False
-    only = body.fields[0][0]
-    value = only.fields[0] if only.fields else None
-    if only.tag == "Return":
-        atoms = {"Num", "Str", "Bool", "Null", "BigInt", "Regex", "Id", "This"}
-        return value is None or value.tag in atoms
-    if only.tag == "Throw" and value is not None and value.tag in ("New", "Call"):
+    """Whether a body says nothing: absent, empty, or only empty statements, returned atoms and new plain errors thrown."""
+    return body is None or all(map(_says_nothing, body.fields[0]))
+
+
+def _says_nothing(statement: Node) -> bool:
+    value = statement.fields[0] if statement.fields else None
+    if statement.tag == "Return":
+        return value is None or value.tag in ATOMS
+    if statement.tag == "Throw" and value is not None and value.tag == "New":
         return value.fields[0].tag == "Id" and value.fields[0].name in THROWN
-    return False
+    return statement.tag == "Empty"
 
 
 def bound_names(func: Node) -> set[str]:

@@ -113,11 +113,16 @@ def test_typescript_renaming():
     assert "'add'" in a.canonical and "'x'" in a.canonical
 
 
-@pytest.mark.parametrize("body", ["", "return;", "return false", "return 'a'", "return this", "return null", "throw new Error('no')"])
+@pytest.mark.parametrize("body", ["", "return;", "return false", "return 'a'", "return this", "return null", "throw new Error('no')", "; return 1;", "return 1; return;"])
 def test_typescript_trivial_bodies(body):
     assert set(ts(f"class A {{ f() {{ {body} }} }}")) == {("classes", "A")}
 
 
+@pytest.mark.parametrize("body", ["throw Error('x')", "return f()", "throw new Broken()", "g(); return 1"])
+def test_typescript_bodies_that_say_something(body):
+    assert ("methods", "A.f") in ts(f"class A {{ f() {{ {body} }} }}")
+
+
 def test_typescript_jsx_is_raw_text():
     d = ts("export function Badge(p: any) {\n  const t = `${p.a}: ${p.b}`;\n  return <b className={t} {...p}>{t} <i/> text</b>;\n}\n", "t.tsx")
     assert d["functions", "Badge"].canonical == d["functions", "Badge"].text and d["functions", "Badge"].analysis is None
@@ -154,11 +159,16 @@ def test_rust_kinds():
     assert d["methods", "Repo::item"].args == 1 and len(d["functions", "sum"].analysis.type3_lines) == 3
 
 
-@pytest.mark.parametrize("body", ["", "true", "x", "todo!()", "write!(f, \"a\")", "matches!(self, A | B)", "return matches!(1, 1);", "unimplemented!()"])
+@pytest.mark.parametrize("body", ["", "true", "x", "todo!()", "write!(f, \"a\")", "matches!(self, A | B)", "return matches!(1, 1);", "unimplemented!()", "1; 2", "x; return Foo::BAR;", "todo!(); x"])
 def test_rust_trivial_bodies(body):
     assert rs(f"fn f(x: i32) {{ {body} }}") == {}
 
 
+@pytest.mark.parametrize("body", ["Foo::BAR", "()", "let y = 1;", "g(x)", "<T as K>::Z"])
+def test_rust_bodies_that_say_something(body):
+    assert ("functions", "f") in rs(f"fn f(x: i32) {{ {body} }}")
+
+
 def test_rust_cfg_siblings_collapse_and_receiver_strip():
     d = RustFrontend().scan("t", "#[cfg(unix)]\nfn p(x: i32) -> i32 { let y = x + 1; y }\n#[cfg(windows)]\nfn p(x: i32) -> i32 { let y = x - 1; y }\n")
     assert [x.name for x in d] == ["p"] and d[0].line == 1 and d[0].text.startswith("fn p")
