@@ -185,9 +185,11 @@ _F = """
 f AS (
   SELECT * EXCLUDE (members), list_filter(coalesce(members, []), lambda m: m IS NOT NULL AND m.file IS NOT NULL AND m.line IS NOT NULL AND m.col IS NOT NULL) AS members
   FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM findings)
-  WHERE rn = 1 AND finding_id IS NOT NULL AND thickness IS NOT NULL AND NOT isnan(thickness))
+  WHERE rn = 1 AND finding_id IS NOT NULL)
 """
 
+_SCORED = f"{_F}, g AS (SELECT * FROM f WHERE thickness IS NOT NULL AND NOT isnan(thickness))"
+
 _WEIGHTS = f"""
 WITH {_DEFS},
 l AS (
@@ -213,38 +215,114 @@ reach(id, other) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.id, s.b FROM rea
 SELECT id, min(other) AS label FROM reach GROUP BY id
 """
 
-_LOWER = "lower(file)"
-
-
-def _contains(path: str, parts: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({path}, '{p}')" for p in parts) + ")"
-
-
-def _ends(path: str, parts: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"ends_with({path}, '{p}')" for p in parts) + ")"
+def _path_sql(p: str) -> dict[str, str]:
+    """The path conventions as SQL over a path expression, written out anew."""
+    low, base = f"lower({p})", f"list_last(string_split({p}, '/'))"
+    named = f"({base} LIKE '%.test.%' OR {base} LIKE '%.spec.%')"
+    tests = f"regexp_matches({low}, '/(tests|test|__tests__|test_cases|test-cases|__fixtures__|fixtures|integration|e2e)/')"
+    return {
+        "is_i18n": f"regexp_matches({low}, '/(locale|locales|i18n|translations)/')",
+        "is_test": f"({tests} OR starts_with({base}, 'test_') OR ends_with({base}, '_test.py') OR {named})",
+        "is_test_named": named,
+        "is_generated": f"(regexp_matches({p}, '(_pb2\\.py|_pb2_grpc\\.py|_grpc\\.py|\\.gen\\.py|\\.generated\\.(ts|tsx|js|jsx))$') OR regexp_matches({p}, '/(_generated|generated|__generated__)/'))",
+        "is_migration": f"regexp_matches({p}, '/(migrations|alembic/versions)/')",
+        "is_declaration": f"regexp_matches({p}, '\\.d\\.(ts|tsx|mts|cts)$')",
+        "is_story": f"contains({base}, '.stories.')",
+        "is_example": f"regexp_matches({p}, '/(docs_src|docs/src|examples|example|tutorial|tutorials|samples)/')",
+    }
 
 
-_BASE = "list_last(string_split({p}, '/'))"
-_NAMED = "(contains({b}, '.test.') OR contains({b}, '.spec.'))"
+def _inferred_sql() -> str:
+    path = _path_sql("p")
+    every = {k: f"len(list_filter(files, lambda p: NOT {test})) = 0" for k, test in path.items()}
+    rules = (
+        (f"kind = 'constants' AND len(files) > 0 AND len(list_filter(files, lambda p: {path['is_i18n']})) / len(files) >= 0.8", 5, "suppress:CONSTANT:*@*locale*=i18n locale tables, duplication is by design"),
+        (every["is_i18n"], 5, "suppress:*:*@*/{locale,locales,i18n,translations}/*=i18n / translation tables — per-locale near-duplicates are by design"),
+        (every["is_test"], 3, "de-escalate:*:*@*/{test,tests,__tests__,test_cases,test-cases,__fixtures__,fixtures,integration,e2e}/*=test parametrize/fixture candidates — review for conftest"),
+        (every["is_test_named"], 3, "de-escalate:*:*@*.{test,spec}.*=test files by .test.* / .spec.* naming"),
+        (f"len(list_filter(files, lambda p: {path['is_generated']})) > 0", 3, "suppress:*:*@*_pb2*=generated protobuf/gRPC code, suppress wholesale"),
+        (every["is_migration"], 3, "suppress:*:*@*migrations/*=schema migrations are snapshots, not refactor targets"),
+        (every["is_example"], 5, "de-escalate:*:*@*/{docs_src,docs/src,examples,example,tutorial,tutorials,samples}/*=tutorial/doc-example code — snippet duplication is expected"),
+        (every["is_declaration"], 3, "suppress:*:*@*.d.ts=TypeScript declaration files, type-only duplication is by design"),
+        (every["is_story"], 5, "de-escalate:*:*@*.stories.*=Storybook stories — boilerplate duplication is the docstring"),
+    )
+    counted = [
+        f"SELECT '{rule}' AS directive, count(*) AS affects_total, count(*) FILTER (WHERE severity = 'ERROR') AS affects_error, "
+        f"count(*) FILTER (WHERE severity = 'WARNING') AS affects_warning, count(*) FILTER (WHERE severity = 'INFO') AS affects_info "
+        f"FROM h WHERE {test} HAVING count(*) >= {least}"
+        for test, least, rule in rules
+    ]
+    return f"WITH {_F}, h AS (SELECT kind, severity, list_transform(members, lambda m: m.file) AS files FROM f)\n" + "\nUNION ALL ".join(counted)
 
 
-def _test_sql(p: str) -> str:
-    b = _BASE.format(p=p)
-    return f"({_contains(f'lower({p})', calibration.TEST_DIRS)} OR starts_with({b}, 'test_') OR ends_with({b}, '_test.py') OR {_NAMED.format(b=b)})"
+_VENDORED = f"""
+WITH {_F},
+m AS (
+  SELECT finding_id, severity, list_distinct(list_transform(members, lambda m: regexp_replace(m.file, '^.*/', ''))) AS names,
+         list_distinct(list_transform(members, lambda m: CASE WHEN contains(m.file, '/') THEN regexp_replace(m.file, '/[^/]*$', '') ELSE '' END)) AS dirs
+  FROM f),
+x AS (SELECT finding_id, severity, unnest(dirs) AS dir FROM m WHERE len(names) = 1 AND len(dirs) >= 2),
+y AS (
+  SELECT *, 10 * regexp_matches(dir, '/(fixtures|__fixtures__)/')::INT + 5 * regexp_matches(dir, '/(test|tests|__tests__)/')::INT
+    + 8 * regexp_matches(dir, '/(vendor|vendored|third_party)/')::INT + CASE WHEN contains(dir, '/util/vs/') THEN 5 WHEN contains(dir, '/util/') THEN 1 ELSE 0 END
+    + regexp_matches(dir, '/(extensions|extension)/')::INT AS score FROM x),
+z AS (
+  SELECT *, first_value(dir) OVER (PARTITION BY finding_id ORDER BY score, len(string_split(dir, '/')), dir) AS source FROM y),
+w AS (
+  SELECT severity, dir, source, list_reverse(string_split(dir, '/')) AS a, list_reverse(string_split(source, '/')) AS b FROM z WHERE dir <> source AND score > 0),
+v AS (
+  SELECT severity, source, dir, a, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS shared FROM w),
+p AS (
+  SELECT severity, source, CASE WHEN shared >= len(a) THEN dir ELSE array_to_string(list_reverse(a[shared + 1:]), '/') END AS prefix FROM v),
+q AS (
+  SELECT severity, source, prefix, unnest(list_transform(range(1, len(string_split(prefix, '/')) + 1), lambda k: array_to_string(string_split(prefix, '/')[1:k], '/'))) AS anchor
+  FROM p WHERE prefix <> ''),
+n AS (
+  SELECT anchor, min(source) AS source, count(*) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS n_error,
+         count(*) FILTER (WHERE severity = 'WARNING') AS n_warning, count(*) FILTER (WHERE severity = 'INFO') AS n_info FROM q GROUP BY anchor HAVING count(*) >= 3),
+c AS (SELECT DISTINCT (SELECT n.anchor FROM n WHERE n.anchor = u.prefix OR starts_with(u.prefix, n.anchor || '/') ORDER BY length(n.anchor) DESC LIMIT 1) AS anchor
+  FROM (SELECT DISTINCT prefix FROM q) u)
+SELECT n.* FROM n JOIN c USING (anchor)
+WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.anchor <> n.anchor AND starts_with(o.anchor, n.anchor || '/'))
+ORDER BY n DESC, anchor LIMIT 5"""
+
+_TYPE3 = _WEIGHTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+c AS (SELECT def_id, line, count(*) * any_value(weight) AS w FROM l JOIN w USING (line) WHERE line IS NOT NULL GROUP BY def_id, line),
+nm AS (SELECT def_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY def_id),
+dots AS (SELECT x.def_id AS a, y.def_id AS b, sum(x.w * y.w) AS dot FROM c x JOIN c y ON x.line = y.line AND x.def_id < y.def_id GROUP BY ALL),
+cs AS (
+  SELECT a, b, CASE WHEN na.norm * nb.norm > 0 THEN dot / (na.norm * nb.norm) ELSE 0 END AS cosine
+  FROM dots JOIN nm na ON na.def_id = a JOIN nm nb ON nb.def_id = b),
+own AS (
+  SELECT def_id, name, file, line, col, loc, args, kind.id AS kind_id, list_filter(analysis.type3_lines, lambda v: v IS NOT NULL) AS lines FROM d
+  WHERE kind.fn_like AND analysis IS NOT NULL AND len(analysis.type3_lines) >= 3 AND name IS NOT NULL),
+e AS (
+  SELECT a, b FROM cs JOIN own oa ON oa.def_id = a JOIN own ob ON ob.def_id = b
+  WHERE cosine > 0.7 AND oa.name <> ob.name AND oa.name <> 'a' || ob.name AND ob.name <> 'a' || oa.name AND oa.lines <> ob.lines),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(id, other) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.id, s.b FROM reach r JOIN s ON s.a = r.other),
+-- copies of a linked definition under the same name belong with it
+k AS (SELECT id, min(other) AS label FROM reach GROUP BY id),
+lab AS (SELECT o.def_id, min(k.label) AS label FROM own o JOIN own p ON p.lines = o.lines AND p.name = o.name JOIN k ON k.id = p.def_id GROUP BY o.def_id),
+least_cs AS (
+  SELECT x.label, min(CASE WHEN ox.lines = oy.lines THEN 1 ELSE coalesce(cosine, 0) END) AS min_sim
+  FROM lab x JOIN lab y ON x.label = y.label AND x.def_id < y.def_id JOIN own ox ON ox.def_id = x.def_id JOIN own oy ON oy.def_id = y.def_id
+  LEFT JOIN cs ON cs.a = x.def_id AND cs.b = y.def_id GROUP BY x.label),
+g AS (
+  SELECT label, count(*) AS n, max(loc) AS loc, max(args) AS args, list(DISTINCT name ORDER BY name) AS names,
+         list({'file': file, 'line': line, 'col': col, 'kind': kind_id} ORDER BY file, line, col, def_id) AS m
+  FROM lab JOIN own USING (def_id) GROUP BY label HAVING count(DISTINCT name) >= 2)
+SELECT 'type-3' AS pass,
+  CASE WHEN len(list_filter(m, lambda v: v.kind <> 'methods')) = 0 THEN 'methods'
+       WHEN len(list_filter(m, lambda v: v.kind = 'functions')) > 0 THEN 'functions' ELSE m[1].kind END AS kind_id,
+  array_to_string(names, '/') AS name, CASE WHEN min_sim >= 0.9 THEN 'ERROR' ELSE 'WARNING' END AS severity, round(min_sim, 6) AS min_sim, loc, args,
+  round(0.7 * (1 - exp(-(loc * (n - 1)) / 30.0)) + 0.1 * (1 - exp(-args / 5.0)) + 0.2 * min_sim, 6) AS thickness, n::INT AS n,
+  array_to_string(list_transform(m, lambda v: concat_ws(':', v.file, v.line + 1, v.col)), ' ') AS members
+FROM g JOIN least_cs USING (label)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    c = calibration
-    base = _BASE.format(p="file")
-    predicates = {
-        "is_i18n": _contains(_LOWER, c.I18N_DIRS),
-        "is_test": _test_sql("file"),
-        "is_generated": f"({_ends('file', c.GENERATED_ENDS)} OR {_contains('file', c.GENERATED_DIRS)})",
-        "is_migration": _contains("file", c.MIGRATION_DIRS),
-        "is_declaration": _ends("file", c.DECLARATION_ENDS),
-        "is_story": f"contains({base}, '.stories.')",
-        "is_example": _contains("file", c.EXAMPLE_DIRS),
-    }
+    paths = [f"{sql} AS {name}" for name, sql in _path_sql("file").items() if name != "is_test_named"]
     renamed = f"""
 WITH {_DEFS},
 g AS (
@@ -289,16 +367,17 @@ SELECT a, b, round(cosine, 6) AS cosine FROM q WHERE cosine > 0.7""",
         "thickness_scores": f"""WITH {_F} SELECT finding_id, round(0.7 * (1 - exp(-(loc * (len(members) - 1)) / 30.0)) + 0.1 * (1 - exp(-args / 5.0)) + 0.2 * coalesce(min_sim, 1), 6) AS score
 FROM f WHERE len(members) > 0 AND loc IS NOT NULL AND args IS NOT NULL AND NOT isnan(coalesce(min_sim, 1))""",
         "severity_ladder": f"""WITH {_F},
-a AS (SELECT *, CASE WHEN severity = 'ERROR' AND thickness < 0.4 THEN 'WARNING' ELSE severity END AS s1 FROM f),
+k AS (SELECT * EXCLUDE (thickness), CASE WHEN NOT isnan(thickness) THEN thickness END AS thickness FROM f),
+a AS (SELECT *, CASE WHEN severity = 'ERROR' AND thickness < 0.4 THEN 'WARNING' ELSE severity END AS s1 FROM k),
 b AS (SELECT *, CASE WHEN s1 = 'WARNING' AND thickness < 0.3 THEN 'INFO' ELSE s1 END AS s2 FROM a)
 SELECT finding_id, CASE WHEN s2 <> 'ERROR' AND thickness >= 0.9 THEN 'ERROR' ELSE s2 END AS severity,
   (CASE kind WHEN 'constants' THEN 0 WHEN 'functions' THEN 1 WHEN 'methods' THEN 4 WHEN 'classes' THEN 7 WHEN 'interfaces' THEN 8 WHEN 'type-aliases' THEN 9 END
    + CASE WHEN kind NOT IN ('functions', 'methods') THEN 0 WHEN pass = 'cross-name' THEN 1 WHEN pass = 'type-3' THEN 2 ELSE 0 END)::INT AS section FROM b""",
         "directives_applied": rules,
-        "thickness_histogram": f"""WITH {_F}, b AS (SELECT range AS bin FROM range(10)),
-g AS (SELECT *, (SELECT max(bin) FROM b WHERE bin * 0.1::DOUBLE <= thickness) AS bin FROM f WHERE thickness >= 0)
-SELECT b.bin::INT AS bin, count(g.finding_id) AS n FROM b LEFT JOIN g ON g.bin = b.bin GROUP BY b.bin""",
-        "threshold_suggestions": f"""WITH {_F}, e AS (SELECT * FROM f WHERE severity = 'ERROR'),
+        "thickness_histogram": f"""WITH {_SCORED}, b AS (SELECT range AS bin FROM range(10)),
+h AS (SELECT *, (SELECT max(bin) FROM b WHERE bin * 0.1::DOUBLE <= thickness) AS bin FROM g WHERE thickness >= 0)
+SELECT b.bin::INT AS bin, count(h.finding_id) AS n FROM b LEFT JOIN h ON h.bin = b.bin GROUP BY b.bin""",
+        "threshold_suggestions": f"""WITH {_SCORED}, e AS (SELECT * FROM g WHERE severity = 'ERROR'),
 a AS (SELECT * FROM (VALUES ('permissive', 50), ('balanced', 75), ('strict', 90)) v(label, percentile)),
 t AS (SELECT label, percentile, CASE percentile WHEN 50 THEN quantile_cont(thickness, 0.5) WHEN 75 THEN quantile_cont(thickness, 0.75) ELSE quantile_cont(thickness, 0.9) END AS threshold
   FROM a, e GROUP BY label, percentile)
@@ -306,5 +385,8 @@ SELECT label, percentile, round(threshold, 6) AS threshold, count(*) AS kept,
   list_sort(list(e.loc))[(count(*) // 2 + 1)::INT] AS median_loc, list_sort(list(e.args))[(count(*) // 2 + 1)::INT] AS median_args,
   list(e.name ORDER BY e.thickness, e.name)[1] AS name
 FROM t JOIN e ON e.thickness >= t.threshold GROUP BY label, percentile, threshold""",
-        "path_predicates": "SELECT DISTINCT file, " + ", ".join(f"{sql} AS {name}" for name, sql in predicates.items()) + " FROM source_files",
+        "path_predicates": f"SELECT DISTINCT file, {', '.join(paths)} FROM source_files",
+        "inferred_directives": _inferred_sql(),
+        "vendored_roots": _VENDORED,
+        "pass_type3": _TYPE3,
     }
