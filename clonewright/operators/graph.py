@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonewright.plans.scratch import discard, materialise
 
 
+#: Edges of a graph, or of what is left of one, whose rounds are run inside one task: 1.6 MB.
+AT_ONCE = 100_000
+
+
 def smallest_label(edges: DataFrame) -> DataFrame:
     """(id, label) for every id in ``edges`` (columns ``a``, ``b`` of bigint): the smallest id it is linked to.
 
@@ -16,7 +24,8 @@ def smallest_label(edges: DataFrame) -> DataFrame:
     jumping) and contracts the graph to the roots. Roots are never adjacent
     vertices, so the vertices with edges at least halve each round, and a chain
     of any length takes log2 of its length in jumps. Every step is written to
-    the shared folder. Hooks are found with partial aggregation, and labels
+    the shared folder. Once no more than ``AT_ONCE`` edges are left, the same
+    rounds run on arrays inside one task, which spares their jobs. Hooks are found with partial aggregation, and labels
     are put together from the rounds' shrinking tables at the end, so a hub that
     a third of all edges share is no single task's work. Edges with a null end,
     loops and repeated edges link nothing new; ids that have only loops are kept.
@@ -25,7 +34,10 @@ def smallest_label(edges: DataFrame) -> DataFrame:
     ids = clean.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     live = materialise(_canonical_edges(clean, F.col("a"), F.col("b")))
     rounds: list[DataFrame] = []
-    while not live.isEmpty():
+    while (left_over := live.count()) > 0:
+        if left_over <= AT_ONCE:
+            rounds.append(materialise(live.coalesce(1).mapInArrow(_rounds_at_once, "v long, to long")))
+            break
         both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = F.least(F.min("e.b"), F.col("v")).alias("to")
         roots = _jumped(live.select(both.alias("e")).groupBy(F.col("e.a").alias("v")).agg(least))
@@ -44,6 +56,27 @@ def smallest_label(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("id"), F.col("to").alias("label"))
 
 
+def _rounds_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (v, to): minimum labels across edges, then pointer jumping, until no label changes."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    ends = np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)]) if held else np.empty(0, np.int64)
+    ids, place = np.unique(ends, return_inverse=True)
+    a, b = place[: len(place) // 2], place[len(place) // 2 :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        onward = label.copy()
+        # a root takes the least label that any of its own members meets
+        np.minimum.at(onward, label[a], least)
+        np.minimum.at(onward, label[b], least)
+        while not np.array_equal(onward, onward[onward]):
+            onward = onward[onward]
+        if np.array_equal(onward[label], label):
+            break
+        label = onward[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], names=["v", "to"])
+
+
 def _jumped(hooks: DataFrame) -> DataFrame:
     """Pointers (v, to) doubled, twice in each written step, until every one ends at a root."""
     pointers = materialise(hooks)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clonewright.functions.model import DEFINITION_SCHEMA, KINDS
+from clonewright.operators import graph
 from clonewright.operators.graph import smallest_label
 from clonewright.operators.named import BLOCK, large_name_groups, named_clusters, named_findings
 from clonewright.operators.nearcopy import TOKEN, type3_clusters, type3_findings
@@ -41,8 +42,9 @@ def brute_labels(edges):
     return label
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "at_once"), [(1, 0), (1, 100_000), (2, 40)])
+def test_components_match_brute_force(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
     draw = random.Random(seed)
     edges = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)] + [(5, 5), (1, 2), (2, 1), (1, 2)]
     chain = [(k, k + 1) for k in range(100, 160)]
