@@ -44,8 +44,27 @@ def test_leaks_of_nothing_and_too_much(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks.leaked(docs(spark, [(1, "a " * 20)]), none).count() == 0
     assert leaks.leaked(docs(spark, []), spark.createDataFrame([(1, "a " * 20)], "item_id long, text string")).count() == 0
-    with pytest.raises(ValueError, match="too many"):
-        leaks.leaked(docs(spark, []), spark.createDataFrame([(1, "a " * 20)], "item_id long, text string"), max_item_words=1)
+
+
+def test_leaks_beyond_the_broadcast_and_hot_runs(spark):
+    draw = random.Random(9)
+    text = lambda n: " ".join(draw.choice(["the", "a", "cat", "sat", "mat"]) for _ in range(n))
+    same = text(13)
+    items = [(i, same + " " + text(draw.randrange(0, 30))) for i in range(40)] + [(70, "la " * 60), (71, None), (72, "")]
+    rows = [(i, text(20) + " " + same + "\n" + text(9)) for i in range(20)] + [(60, "la " * 45), (61, "cat " * 30000), (62, None), (63, ""), (63, same)]
+    passages = spark.createDataFrame(items, "item_id long, text string")
+    wide = {tuple(r) for r in leaks.leaked(docs(spark, rows), passages).collect()}
+    joined = leaks.leaked(docs(spark, rows), passages, most_characters=0)
+    assert wide == {tuple(r) for r in joined.collect()} and {(r[0], r[1]) for r in wide} >= {(d, i) for d in range(20) for i in range(40)}
+    assert leaks.leaked(docs(spark, rows), passages.where("item_id > 90"), most_characters=-1).count() == 0
+
+
+def test_leaked_spans_are_cut_out(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, f"Before, {passage.upper()}! After."), (2, passage), (3, "nothing here"), (4, None), (5, f"{passage}; {passage} end"), (6, "")]
+    found = leaks.leaked(docs(spark, rows), spark.createDataFrame([(1, passage), (2, "zero " + passage)], "item_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_removed) for r in leaks.without_spans(docs(spark, rows), found).collect()}
+    assert got == {1: ("Before, ! After.", 13), 2: ("", 13), 3: ("nothing here", 0), 5: (";  end", 26), 6: ("", 0)}
 
 
 def test_terms_match_brute_force(spark):
@@ -213,6 +232,8 @@ NUMBERED = "".join(f"def make_row{k:03d}(x):\n    return x.field_{k} + {k}\n" fo
         ("r/a.py", "# Code generated by x-gen. DO NOT EDIT.\n" + HAND, ["generated-note"]),
         ("r/a.py", "import a\n" * 3 + "# @generated by x\n" + HAND, ["generated-note"]),
         ("r/a.py", HAND + "// machine written by the x step, regenerate instead of patching\n", ["generated-note"]),
+        ("r/a.py", "# Licence\n" * 40 + "# @generated by x\n" + HAND, ["generated-note"]),
+        ("r/a.py", HAND + "\ndef third(x):\n    # Code generated by hand, and proud of it\n    return x.y\n", []),
         ("r/_generated/a.py", HAND, ["generated-layout"]),
         ("r/a_pb2.py", HAND, ["generated-layout"]),
         ("r/a.py", NUMBERED, ["generated-series"]),
@@ -231,9 +252,12 @@ def test_file_reasons(path, content, want):
 
 
 def test_marked_files_and_shared_subtrees(spark):
-    lib = {"lib.py": HAND, "sub/more.py": HAND.replace("first", "third").replace("second", "fourth")}
+    more = "def longer(items):\n    return sorted(items, key=lambda item: (item.size, item.name))\n"
+    lib = {"lib.py": HAND + more, "sub/more.py": HAND.replace("first", "third").replace("second", "fourth") + more}
+    other = HAND.replace("x * 2", "x + 3 - y").replace("total", "everything_so_far")
     rows = [(f"{repo}/{at}/{name}", repo, text if repo == "r1" else text.replace("total", "sum_") + "\n\n# moved\n", 1) for repo, at in (("r1", "x/copied-1.0"), ("r2", "y/z/copied-2.1")) for name, text in lib.items()]
     rows += [("r1/own.py", "r1", HAND, 1), ("r1/old.py", "r1", "# @generated by x\n" + HAND, 1), ("r1/old.py", "r1", HAND, 2), ("r3/null.py", "r3", None, 1), (None, "r3", HAND, 1)]
+    rows += [("r4/own.py", "r4", other, 1), ("r5/own.py", "r5", more * 3 + other, 1), ("r6/named.py", "r6", HAND + more, 1)]
     rows += [("r3/twice.py", "r3", "# @generated by x\n", 1)] * 2
     df = spark.createDataFrame(rows, "file string, repo string, content string, at long").withColumn("scanned_at", F.timestamp_seconds("at")).drop("at")
     got = {r.file: r.reasons for r in sourcefiles.not_handwritten(df).collect()}
