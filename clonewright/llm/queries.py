@@ -126,6 +126,23 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return _p9_leaks(spark, d)
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a leaked passage."""
+    return leaks.without_leaks(table(spark, d, "documents"), _p9_leaks(spark, d)).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their leaked spans cut out: how many words went, and how many are left."""
+    cut = leaks.without_spans(table(spark, d, "documents"), _p9_leaks(spark, d))
+    left = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    return cut.where(F.col("n_removed") > 0).select("doc_id", "n_removed", left.alias("n_left"))
+
+
+def p9_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``p9_spans`` by the join that larger item sets take."""
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), most_characters=0)
+
+
 def _p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return levels.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
 
@@ -171,6 +188,9 @@ def queries() -> dict[str, Query]:
         "p8_fill": p8_fill,
         "p9_found": p9_found,
         "p9_spans": p9_spans,
+        "p9_joined": p9_joined,
+        "p9_kept": p9_kept,
+        "p9_cut": p9_cut,
         "p10_levels": p10_levels,
         "p10_profile": p10_profile,
         "p10_agreement": p10_agreement,
@@ -251,6 +271,27 @@ ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: ar
 """
 
 
+_SPANS_9 = """
+WITH dw AS (SELECT doc_id, any_value(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+iw AS (SELECT item_id, any_value(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM eval_items WHERE text IS NOT NULL GROUP BY item_id),
+dg AS (SELECT doc_id, i AS a, array_to_string(w[i:i + 12], ' ') AS g FROM dw, range(1, len(w) - 11) t(i) WHERE len(w) >= 13),
+ig AS (SELECT item_id, i AS b, array_to_string(w[i:i + 12], ' ') AS g FROM iw, range(1, len(w) - 11) t(i) WHERE len(w) >= 13),
+met AS (SELECT doc_id, item_id, a, a - b AS diagonal FROM dg JOIN ig USING (g)),
+island AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY a) AS stretch FROM met),
+spans AS (
+  SELECT DISTINCT doc_id, item_id, (min(a) - 1)::INT AS first_word, (count(*) + 12)::INT AS n_words FROM island GROUP BY doc_id, item_id, diagonal, stretch)
+"""
+
+_CLUSTERS_3 = _FOUND_3.replace("WITH v AS", "WITH RECURSIVE v AS", 1) + """,
+e AS (SELECT field, def_id_a AS a, def_id_b AS b FROM p WHERE common >= 0.6 * either),
+ends AS (SELECT field, a, b FROM e UNION ALL SELECT field, b, a FROM e),
+reach(field, id, other) AS (SELECT DISTINCT field, a, a FROM ends UNION SELECT r.field, r.id, o.b FROM reach r JOIN ends o ON o.field = r.field AND o.a = r.other),
+lab AS (SELECT field, id, min(other) AS label FROM reach GROUP BY ALL),
+deg AS (SELECT field, a AS id, count(DISTINCT b) AS n FROM ends GROUP BY ALL)
+SELECT s.field, s.def_id, coalesce(label, s.def_id) AS cluster, coalesce(n, 0) AS n_links
+FROM s LEFT JOIN lab ON lab.field = s.field AND lab.id = s.def_id LEFT JOIN deg ON deg.field = s.field AND deg.id = s.def_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""
@@ -281,5 +322,16 @@ SELECT field, def_id, any_value(n_chars)::INT AS n_chars, sum(CASE WHEN gap IS N
   count(*) FILTER (WHERE gap IS NULL OR gap > 240) AS n_spans FROM gaps GROUP BY field, def_id""",
         "p7_found": _FOUND_7 + "SELECT field, keep_id, def_id FROM k WHERE def_id > keep_id",
         "p7_copies": _FOUND_7 + "SELECT field, keep_id, count(*) AS copies FROM k GROUP BY field, keep_id HAVING count(*) > 1",
+        "p3_clusters": _CLUSTERS_3,
+        "p4_residuals": _TERMS_4
+        + """r AS (SELECT def_id, term, CASE WHEN spread > 0 THEN (tf - e) / sqrt(e) / spread ELSE 0 END AS adjusted FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY def_id ORDER BY adjusted DESC, term) AS k FROM r)
+SELECT def_id, term, round(adjusted, 6) AS adjusted FROM o WHERE k = 1""",
+        "p9_spans": _SPANS_9 + "SELECT * FROM spans",
+        "p9_joined": _SPANS_9 + "SELECT * FROM spans",
+        "p9_kept": _SPANS_9 + "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM spans)",
+        "p9_cut": _SPANS_9
+        + """, hit AS (SELECT doc_id, count(DISTINCT i) AS n FROM spans, range(first_word, first_word + n_words) t(i) GROUP BY doc_id)
+SELECT doc_id, n::INT AS n_removed, (len(w) - n)::INT AS n_left FROM hit JOIN dw USING (doc_id)""",
         "p9_found": _RUNS_9 + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     }
