@@ -1,8 +1,9 @@
-"""Long exact spans that stand in more than one record."""
+"""Long exact spans that stand in more than one record: winnowed fingerprints route texts to suffix automata."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonewright.kernels import kernel
 from clonewright.plans.scratch import materialise
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,51 +120,6 @@ def _fingerprint_stage(span: int, gram: int):
     return stage
 
 
-def _match_stage(span: int):
-    """Contexts sorted by (field, print) to rows (field, rep, start, end) of runs that another value holds too."""
-
-    def shared(group: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-        owner: dict[str, int] = {}
-        several: set[str] = set()
-        for rep, _, text in group:
-            for i in range(len(text) - span + 1):
-                run = text[i : i + span]
-                if owner.setdefault(run, rep) != rep:
-                    several.add(run)
-        found: list[tuple[int, int, int]] = []
-        if several:
-            for rep, lo, text in group:
-                for i in range(len(text) - span + 1):
-                    if text[i : i + span] in several:
-                        if found and found[-1][0] == rep and found[-1][2] == lo + i + span - 1 and i:
-                            found[-1] = (rep, found[-1][1], lo + i + span)
-                        else:
-                            found.append((rep, lo + i, lo + i + span))
-        return found
-
-    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["field", "rep", "start", "end"])
-
-        for batch in batches:
-            done: list[tuple] = []
-            for field, mark, rep, lo, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if (field, mark) != key:
-                    if len(group) > 1:
-                        done += [(key[0], *f) for f in shared(group)]
-                    key, group = (field, mark), []
-                group.append((rep, lo, text))
-            yield out(done)
-        if len(group) > 1:
-            yield out([(key[0], *f) for f in shared(group)])
-
-    return stage
-
-
 def _explode_stage(span: int):
     """Contexts of hot fingerprints to rows (field, print, h1, h2, rep, start), one for each run."""
 
@@ -196,9 +153,12 @@ def shared_spans(values: DataFrame, span: int = 240, gram: int = 120, hot: int =
     Values are collapsed on a 128-bit digest first; a value of two records is
     shared as a whole. Each distinct value is winnowed to fingerprints of
     ``gram`` characters so that equal runs have an equal fingerprint. Only
-    fingerprints of two values or more go on, with the text around them; there
-    the runs are compared as strings. The contexts of one fingerprint meet in
-    one task only up to ``hot`` of them; the runs of hotter ones are hashed to
+    fingerprints of two values or more go on, with the text around them. The
+    texts around one fingerprint are a shard: they form one suffix automaton, and
+    each is read through it for matching statistics, which give the exact runs
+    that another value holds. A value thus only passes the automata that it can
+    share a run with, in place of all of them. A shard lies in one task only up
+    to ``hot`` texts; the runs of hotter ones are hashed to
     128 bits and counted by a distributed aggregation instead, so no group
     grows with the data. Nulls and values shorter than ``span`` give no row.
     Several rows of one id with one value count once.
@@ -226,8 +186,9 @@ def shared_spans(values: DataFrame, span: int = 240, gram: int = 120, hot: int =
     )
     around = materialise(around)
     cool = around.where(F.col("n") <= hot).select("field", "print", "rep", "lo", "text")
-    met = cool.repartition("field", "print").sortWithinPartitions("field", "print", "rep", "lo")
-    found = met.mapInArrow(_match_stage(span), "field string, rep long, start int, end int")
+    shared_runs = kernel(values.sparkSession, "SharedRuns", "array<struct<rep:bigint,start:int,end:int>>", Path(__file__).parent)
+    shards = cool.groupBy("field", "print").agg(F.collect_list(F.struct("rep", F.col("lo").cast("long").alias("lo"), "text")).alias("s"))
+    found = shards.select("field", F.inline(shared_runs(F.col("s.rep"), F.col("s.lo"), F.col("s.text"), F.lit(span))))
     runs = around.where(F.col("n") > hot).select("field", "print", "rep", "lo", "text")
     runs = runs.mapInArrow(_explode_stage(span), "field string, print long, h1 long, h2 long, rep long, start int")
     key = ["field", "print", "h1", "h2"]
