@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,30 +45,52 @@ def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.
     """Upper bounds of at most ``buckets`` length buckets with the least padding in all.
 
     ``lengths`` rise; padding is the bound less the length, summed over items.
-    Dynamic programming over the histogram, exact.
+    Dynamic programming over the histogram, exact: the cost of a bucket that
+    begins after length i is a line in its bound, so each step keeps the lower
+    envelope of those lines and costs a number of operations proportional to
+    the number of lengths.
     """
     n = len(lengths)
     if n <= buckets:
         return lengths.copy()
-    items = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    tokens = np.concatenate(([0], np.cumsum(counts * lengths))).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    cut = np.zeros((buckets, n + 1), np.int64)
-    for b in range(buckets):
-        nxt = best.copy() if b else np.full(n + 1, np.inf)
-        nxt[0] = 0.0
+    size = [int(x) for x in lengths]
+    items, tokens = [0], [0]
+    for x, c in zip(size, counts.tolist(), strict=True):
+        items.append(items[-1] + c)
+        tokens.append(tokens[-1] + c * x)
+    best = [0] + [size[j - 1] * items[j] - tokens[j] for j in range(1, n + 1)]
+    cuts: list[array] = []
+    for _ in range(1, buckets):
+        after, cut = [0] * (n + 1), array("l", [0]) * (n + 1)
+        lines: list[int] = []  # starts i of the envelope, steepest last; cost best[i] + tokens[i] - bound * items[i]
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (items[j] - items[:j]) - (tokens[j] - tokens[:j])
-            i = int(cost.argmin())
-            nxt[j], cut[b, j] = cost[i], i
-        best = nxt
+            i = j - 1
+            height = best[i] + tokens[i]
+            while len(lines) - at >= 2:
+                p, q = lines[-2], lines[-1]
+                hp, hq = best[p] + tokens[p], best[q] + tokens[q]
+                # q never lies lowest if i overtakes p no later than q does
+                if (height - hp) * (items[q] - items[p]) <= (hq - hp) * (items[i] - items[p]):
+                    lines.pop()
+                else:
+                    break
+            lines.append(i)
+            x = size[j - 1]
+            while len(lines) - at >= 2 and best[lines[at + 1]] + tokens[lines[at + 1]] - x * items[lines[at + 1]] <= best[lines[at]] + tokens[lines[at]] - x * items[lines[at]]:
+                at += 1
+            i = lines[at]
+            after[j], cut[j] = best[i] + tokens[i] - x * items[i] + x * items[j] - tokens[j], i
+        best = after
+        cuts.append(cut)
     bounds, j = [], n
-    for b in range(buckets - 1, -1, -1):
+    for cut in reversed(cuts):
         if j == 0:
             break
-        bounds.append(lengths[j - 1])
-        j = int(cut[b, j])
+        bounds.append(size[j - 1])
+        j = cut[j]
+    if j:
+        bounds.append(size[j - 1])
     return np.array(bounds[::-1])
 
 
@@ -124,16 +147,19 @@ class Packing:
     n_tokens). A text is one item, or, only if it is longer than the capacity,
     pieces of the capacity and one rest.
 
-    Lengths are counted into one histogram per capacity, of at most
-    ``max_lengths`` length classes; dynamic programming chooses the length
+    Lengths are counted into one histogram per capacity, of as many lengths as
+    the capacity has tokens; dynamic programming chooses the length
     buckets with the least padding, and containers are filled from the buckets
     by counts alone. Each item then finds its place by its rank in its bucket,
     made of counts per partition and a rank within the partition, so a bucket
     that holds most items is no single task's work. Texts without tokens take
     no place. Capacities must be positive; others, and nulls, are left out.
+
+    ``padding``: what the buckets pad in all; ``alone``: the containers it would
+    take if each were filled from one bucket only.
     """
 
-    def __init__(self, sizes: DataFrame, limits: DataFrame, buckets: int = 96, max_lengths: int = 4096):
+    def __init__(self, sizes: DataFrame, limits: DataFrame, buckets: int = 96):
         spark = sizes.sparkSession
         caps = [tuple(r) for r in limits.select("limit_id", "capacity").distinct().collect() if r[1] and r[1] > 0 and r[0] is not None]
         self.sizes = sizes
@@ -152,13 +178,12 @@ class Packing:
             .select("limit_id", "capacity", "doc_id", "part", "p.first_token", "p.n_tokens")
             .where(F.col("n_tokens") > 0)
         )
-        step = F.greatest(F.lit(1), F.ceil(F.col("capacity") / max_lengths))
-        rounded = F.least(F.col("capacity"), F.ceil(F.col("n_tokens") / step) * step)
-        items = items.withColumn("length", rounded.cast("long"))
+        items = items.withColumn("length", F.col("n_tokens").cast("long"))
         histogram = items.groupBy("limit_id", "length").agg(F.count(F.lit(1)).alias("n")).collect()
         bucket_rows: list[tuple[int, int, int]] = []
         slot_rows: list[tuple[int, int, int, int, int, int]] = []
         self.padding: dict[int, int] = {}
+        self.alone: dict[int, int] = {}
         for limit_id, capacity in caps:
             own = sorted((r.length, r.n) for r in histogram if r.limit_id == limit_id)
             if not own:
@@ -168,6 +193,7 @@ class Packing:
             at = np.searchsorted(bounds, lengths)
             self.padding[limit_id] = int(((bounds[at] - lengths) * counts).sum())
             per = np.bincount(at, weights=counts, minlength=len(bounds)).astype(int).tolist()
+            self.alone[limit_id] = sum(-(-n // (capacity // bound)) for n, bound in zip(per, bounds.tolist(), strict=True))
             bucket_rows += [(limit_id, int(x), int(b)) for x, b in zip(lengths, at, strict=True)]
             slot_rows += [(limit_id, *s) for s in fill_plan(bounds.tolist(), per, capacity)]
         bucket_of = spark.createDataFrame(bucket_rows, "limit_id int, length long, bucket int")
@@ -188,9 +214,21 @@ class Packing:
         )
 
 
+def packing(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> Packing:
+    """``Packing`` of the texts of ``documents``; each text is tokenised once."""
+    return Packing(materialise(token_counts(documents, tokenizer)), limits)
+
+
 def pack(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The containers of ``Packing`` for the texts of ``documents``; each text is tokenised once."""
-    return Packing(materialise(token_counts(documents, tokenizer)), limits).placed
+    """The containers of ``packing``."""
+    return packing(documents, limits, tokenizer).placed
+
+
+def fill_beside_buckets(made: Packing) -> DataFrame:
+    """``fill``, and how full containers would be if each took from one length bucket only."""
+    alone = made.sizes.sparkSession.createDataFrame(list(made.alone.items()), "limit_id int, bucket_containers long")
+    filled = fill(made.placed).join(F.broadcast(alone), "limit_id")
+    return filled.withColumn("bucket_filled", F.round(F.col("n_tokens") / (F.col("bucket_containers") * F.col("capacity")), 6))
 
 
 def fill(placed: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(p8_containers(spark, d))
+    return packing.fill_beside_buckets(packing.packing(table(spark, d, "documents"), table(spark, d, "pack_limits")))
 
 
 def _p9_leaks(spark: SparkSession, d: str) -> DataFrame:

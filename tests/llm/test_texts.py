@@ -117,6 +117,8 @@ def test_packing_is_whole_and_fits(spark):
         least = -(-sum(boxes.values()) // cap)
         assert len(boxes) <= least * 1.05 + 2 and sorted(boxes) == list(range(len(boxes)))
     assert {r.limit_id: r.n_containers for r in packing.fill(packing.pack(docs(spark, rows), limits)).collect()}[1] == len({r.container_id for r in placed if r.limit_id == 1})
+    beside = {r.limit_id: r for r in packing.fill_beside_buckets(packing.packing(docs(spark, rows), limits)).collect()}
+    assert all(r.bucket_containers >= r.n_containers and r.bucket_filled <= r.filled for r in beside.values()) and set(beside) == {1, 2}
     assert packing.pack(docs(spark, []), limits).count() == 0
     assert packing.pack(docs(spark, rows), limits.where("false")).count() == 0
 
@@ -125,8 +127,8 @@ def test_length_buckets_are_optimal():
     from itertools import combinations
 
     draw = random.Random(1)
-    for _ in range(10):
-        lengths = np.array(sorted(draw.sample(range(1, 40), 8)))
+    for _ in range(60):
+        lengths = np.array(sorted(draw.sample(range(1, draw.choice([12, 40, 400])), 8)))
         counts = np.array([draw.randrange(1, 9) for _ in lengths])
 
         def padding(bounds, lengths=lengths, counts=counts):
