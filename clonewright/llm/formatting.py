@@ -10,27 +10,35 @@ from clonewright.plans.scratch import materialise
 from .common import words_stage
 
 
-def collapse(values: DataFrame, min_words: int = 8) -> DataFrame:
-    """(field, def_id, keep_id) for rows (field, def_id, value) with at least ``min_words`` words.
+def canonical_digests(values: DataFrame, min_words: int = 8) -> DataFrame:
+    """(field, def_id, digest, check), written once, for rows (field, def_id, value) with at least ``min_words`` words.
 
     The canonical text is the words in lower case, sorted. Rows carry only its
     128-bit digest and a second, independent 64-bit hash; texts never cross the
-    shuffle.
-    Groups are aggregated with map-side combining, so a value that a third of
-    all rows share costs a row per task. Digests under which the second hash
-    differs are collisions: they are told apart by grouping on both. Several
-    rows of one ``def_id`` count once; nulls and shorter texts give no row.
+    shuffle. Nulls and shorter texts give no row.
     """
     words = values.mapInArrow(words_stage(min_words, ordered=False), "field string, def_id long, digest binary, words string")
-    hashed = words.select("field", "def_id", "digest", F.xxhash64("words").alias("check"))
-    placed = materialise(hashed)
-    key = ["field", "digest", "check"]
-    groups = placed.groupBy(*key).agg(F.min("def_id").alias("keep_id"), F.max("def_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    return materialise(words.select("field", "def_id", "digest", F.xxhash64("words").alias("check")))
+
+
+#: Digests under which the second hash differs are collisions: grouping on both tells them apart.
+KEY = ["field", "digest", "check"]
+
+
+def collapse(values: DataFrame, min_words: int = 8) -> DataFrame:
+    """(field, def_id, keep_id): the members of every set of two or more records with one canonical text.
+
+    Groups are aggregated with map-side combining, so a value that a third of
+    all rows share costs a row per task. Several rows of one ``def_id`` count
+    once.
+    """
+    placed = canonical_digests(values, min_words)
+    groups = placed.groupBy(*KEY).agg(F.min("def_id").alias("keep_id"), F.max("def_id").alias("_last"))
     shared = groups.where(F.col("keep_id") < F.col("_last"))
-    members = placed.join(shared.select(*key, "keep_id"), key).select("field", "def_id", "keep_id").distinct()
-    return members
+    return placed.join(shared.select(*KEY, "keep_id"), KEY).select("field", "def_id", "keep_id").distinct()
 
 
-def copies(members: DataFrame) -> DataFrame:
-    """(field, keep_id, copies): number of definitions of each collapsed group."""
-    return members.groupBy("field", "keep_id").agg(F.count(F.lit(1)).alias("copies"))
+def copies(values: DataFrame, min_words: int = 8) -> DataFrame:
+    """(field, keep_id, copies): one row per canonical text, single ones too, with the number of definitions that have it."""
+    placed = canonical_digests(values, min_words).distinct()
+    return placed.groupBy(*KEY).agg(F.min("def_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")).select("field", "keep_id", "copies")

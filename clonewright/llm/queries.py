@@ -93,17 +93,17 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p6_spans(spark, d)
 
 
-def _p7_members(spark: SparkSession, d: str) -> DataFrame:
+def _p7_values(spark: SparkSession, d: str) -> DataFrame:
     fields = {"text_orig": F.col("text_orig"), "xname_canonical": F.col("analysis.xname_canonical")}
-    return formatting.collapse(field_values(table(spark, d, "definitions"), fields))
+    return field_values(table(spark, d, "definitions"), fields)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p7_members(spark, d).where(F.col("def_id") > F.col("keep_id")).select("field", "keep_id", "def_id")
+    return formatting.collapse(_p7_values(spark, d)).where(F.col("def_id") > F.col("keep_id")).select("field", "keep_id", "def_id")
 
 
 def p7_copies(spark: SparkSession, d: str) -> DataFrame:
-    return formatting.copies(_p7_members(spark, d))
+    return formatting.copies(_p7_values(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +246,7 @@ WITH v AS (
   SELECT DISTINCT 'text_orig' AS field, def_id, text_orig AS value FROM definitions WHERE text_orig IS NOT NULL
   UNION SELECT DISTINCT 'xname_canonical', def_id, analysis.xname_canonical FROM definitions WHERE analysis.xname_canonical IS NOT NULL),
 w AS (SELECT field, def_id, list_sort(regexp_extract_all(lower(value), '[a-z0-9_]+')) AS c FROM v),
-k AS (SELECT field, def_id, min(def_id) OVER (PARTITION BY field, c) AS keep_id FROM w WHERE len(c) >= 8)
+k AS (SELECT field, def_id, c, min(def_id) OVER (PARTITION BY field, c) AS keep_id FROM w WHERE len(c) >= 8)
 """
 
 _FOUND_3 = """
@@ -322,7 +322,7 @@ FROM scored s JOIN cuts c ON s.kind = c.kind AND s.severity = c.severity GROUP B
 SELECT field, def_id, any_value(n_chars)::INT AS n_chars, sum(CASE WHEN gap IS NULL THEN 240 ELSE least(gap, 240) END)::BIGINT AS n_shared,
   count(*) FILTER (WHERE gap IS NULL OR gap > 240) AS n_spans FROM gaps GROUP BY field, def_id""",
         "p7_found": _FOUND_7 + "SELECT field, keep_id, def_id FROM k WHERE def_id > keep_id",
-        "p7_copies": _FOUND_7 + "SELECT field, keep_id, count(*) AS copies FROM k GROUP BY field, keep_id HAVING count(*) > 1",
+        "p7_copies": _FOUND_7 + "SELECT field, keep_id, count(DISTINCT def_id) AS copies FROM k GROUP BY field, keep_id, c",
         "p3_clusters": _CLUSTERS_3,
         "p4_residuals": _TERMS_4
         + """r AS (SELECT def_id, term, CASE WHEN spread > 0 THEN (tf - e) / sqrt(e) / spread ELSE 0 END AS adjusted FROM x),
