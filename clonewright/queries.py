@@ -14,8 +14,8 @@ from clonewright.functions.scoring import graded, loc, section_index, thickness
 from clonewright.operators import calibration, nearcopy
 from clonewright.operators.directives import applied, parse_directive
 from clonewright.operators.graph import smallest_label
-from clonewright.operators.named import large_name_groups, name_groups, named_findings
-from clonewright.operators.renamed import callables, renamed_findings
+from clonewright.operators.named import large_name_groups, name_groups, named_clusters, named_findings
+from clonewright.operators.renamed import callables, renamed_clusters, renamed_findings
 from clonewright.plans.partitions import heavy_tasks
 from clonewright.plans.pipeline import cluster
 from clonewright.sources.frontends import FRONTENDS
@@ -90,6 +90,19 @@ def pass_type3(spark: SparkSession, d: str) -> DataFrame:
     return _summary(nearcopy.type3_findings(_defs(spark, d)))
 
 
+def named_members(spark: SparkSession, d: str) -> DataFrame:
+    """Membership of the clusters of the first pass, one row per definition."""
+    return named_clusters(_defs(spark, d)).select("def_id", "cluster", F.round("min_sim", 6).alias("min_sim"))
+
+
+def renamed_members(spark: SparkSession, d: str) -> DataFrame:
+    return renamed_clusters(_defs(spark, d))
+
+
+def type3_members(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopy.type3_clusters(_defs(spark, d)).select("def_id", "cluster", F.round("min_sim", 6).alias("min_sim"))
+
+
 def name_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return name_groups(_defs(spark, d))
 
@@ -168,7 +181,7 @@ def all_passes(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        definition_loc, scan_sources, canonical_forms, pass_named, pass_renamed, pass_type3, name_group_sizes, large_groups, type3_line_weights, type3_cosines,
+        definition_loc, scan_sources, canonical_forms, pass_named, pass_renamed, pass_type3, named_members, renamed_members, type3_members, name_group_sizes, large_groups, type3_line_weights, type3_cosines,
         component_labels, thickness_scores, severity_ladder, directives_applied, thickness_histogram, threshold_suggestions, path_predicates,
         inferred_directives, vendored_roots, all_passes,
     )
@@ -286,7 +299,7 @@ SELECT n.* FROM n JOIN c USING (anchor)
 WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.anchor <> n.anchor AND starts_with(o.anchor, n.anchor || '/'))
 ORDER BY n DESC, anchor LIMIT 5"""
 
-_TYPE3 = _WEIGHTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+_TYPE3_CLUSTERS = _WEIGHTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 c AS (SELECT def_id, line, count(*) * any_value(weight) AS w FROM l JOIN w USING (line) WHERE line IS NOT NULL GROUP BY def_id, line),
 nm AS (SELECT def_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY def_id),
 dots AS (SELECT x.def_id AS a, y.def_id AS b, sum(x.w * y.w) AS dot FROM c x JOIN c y ON x.line = y.line AND x.def_id < y.def_id GROUP BY ALL),
@@ -307,7 +320,9 @@ lab AS (SELECT o.def_id, min(k.label) AS label FROM own o JOIN own p ON p.lines
 least_cs AS (
   SELECT x.label, min(CASE WHEN ox.lines = oy.lines THEN 1 ELSE coalesce(cosine, 0) END) AS min_sim
   FROM lab x JOIN lab y ON x.label = y.label AND x.def_id < y.def_id JOIN own ox ON ox.def_id = x.def_id JOIN own oy ON oy.def_id = y.def_id
-  LEFT JOIN cs ON cs.a = x.def_id AND cs.b = y.def_id GROUP BY x.label),
+  LEFT JOIN cs ON cs.a = x.def_id AND cs.b = y.def_id GROUP BY x.label)"""
+
+_TYPE3 = _TYPE3_CLUSTERS + """,
 g AS (
   SELECT label, count(*) AS n, max(loc) AS loc, max(args) AS args, list(DISTINCT name ORDER BY name) AS names,
          list({'file': file, 'line': line, 'col': col, 'kind': kind_id} ORDER BY file, line, col, def_id) AS m
@@ -389,4 +404,10 @@ FROM t JOIN e ON e.thickness >= t.threshold GROUP BY label, percentile, threshol
         "inferred_directives": _inferred_sql(),
         "vendored_roots": _VENDORED,
         "pass_type3": _TYPE3,
+        "type3_members": _TYPE3_CLUSTERS + " SELECT def_id, label AS cluster, round(min_sim, 6) AS min_sim FROM lab JOIN least_cs USING (label)",
+        "renamed_members": f"""WITH {_DEFS},
+g AS (
+  SELECT def_id, analysis.xname_canonical AS x, name FROM d WHERE kind.fn_like AND analysis.xname_canonical IS NOT NULL),
+h AS (SELECT x, min(def_id) AS cluster, count(*) AS n FROM g GROUP BY x HAVING count(*) >= 2 AND count(DISTINCT name) >= 2)
+SELECT def_id, cluster, n FROM g JOIN h USING (x)""",
     }
