@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,12 +15,14 @@ from clonewright.operators import calibration
 from clonewright.operators.directives import DirectiveError, parse_directive, settings
 from clonewright.operators.named import large_name_groups
 from clonewright.plans import render
-from clonewright.plans.pipeline import Options, cluster, report_findings, timed
+from clonewright.plans.pipeline import Options, bench, cluster, in_report_order, report_findings, timed
 from clonewright.plans.scratch import materialise
 from clonewright.plans.session import local_session
 from clonewright.sources.frontends import FRONTENDS
+from clonewright.sources.snapshot import load_definitions, save_stages
 from clonewright.sources.walk import definitions, read_sources
 
+STAGES = ("name", "cross-name", "type-3", "cluster")
 TIERS = (("ERROR", "error-thickness"), ("WARNING", "warning-thickness"))
 
 
@@ -29,7 +32,7 @@ class UsageError(ValueError):
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="clonewright", description="Find duplicated definitions in source trees.")
-    p.add_argument("paths", nargs="+", help="files or folders to scan")
+    p.add_argument("paths", nargs="*", help="files or folders to scan")
     p.add_argument("-t", "--threshold", type=float, default=0.5, help="same-named definitions link from this similarity")
     p.add_argument("-e", "--error-threshold", type=float, default=0.85, help="clusters whose least similarity reaches this are errors")
     p.add_argument("--error-thickness", type=float, default=0.0, help="errors thinner than this become warnings")
@@ -48,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", action="store_true", help="JSON instead of text")
     p.add_argument("--calibrate", action="store_true", help="distribution of thickness and suggested thresholds")
     p.add_argument("-D", "--directive", dest="directives", action="append", default=[], help="ACTION:[KIND:]NAME[@PATH][=NOTE]; repeatable")
+    p.add_argument("--save", metavar="FOLDER", help="write definitions, inputs of the third pass and findings below this folder")
+    p.add_argument("--load", metavar="FOLDER", help="read the definitions of an earlier --save in place of scanning")
+    p.add_argument("--bench", metavar="STAGE:LOOPS", help="seconds of a stage (name, cross-name, type-3, cluster) instead of a report")
     p.add_argument("--timing", action="store_true", help="seconds of each stage on stderr")
     return p
 
@@ -57,6 +63,11 @@ def options(args: argparse.Namespace) -> Options:
     unknown = sorted(set(args.only or []) - set(FRONTENDS))
     if unknown:
         raise UsageError(f"unknown language {unknown[0]!r}; known are {', '.join(FRONTENDS)}")
+    if bool(args.paths) == bool(args.load):
+        raise UsageError("give paths to scan or --load, not both")
+    stage, _, loops = (args.bench or "cluster:1").partition(":")
+    if stage not in STAGES or not loops.isdecimal() or int(loops) < 1:
+        raise UsageError(f"--bench takes one of {', '.join(STAGES)}, a colon and a number of loops")
     rules = tuple(map(parse_directive, args.directives))
     overrides, warnings = settings(list(rules))
     for w in warnings:
@@ -105,28 +116,40 @@ def vendored_rules(found: DataFrame, root: str) -> list[tuple]:
     return out
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
-    """(report, exit code) of one invocation: 1 if any error is left, 0 if none or when calibrating."""
+def run(spark: SparkSession, args: argparse.Namespace) -> tuple[Iterator[str], int]:
+    """(parts of the report, exit code) of one invocation: 1 if any error is left, 0 if none or when calibrating.
+
+    The findings are sorted by the cluster and come to the driver one partition
+    at a time, as the report is written.
+    """
     opts = options(args)
     langs = args.only or list(FRONTENDS)
     with timed("scan", args.timing):
-        defs = definitions(read_sources(spark, args.paths, langs))
+        defs = load_definitions(spark, f"{args.load}/definitions") if args.load else definitions(read_sources(spark, args.paths, langs))
+    if args.load and args.only:
+        defs = defs.where(F.col("lang").isin(langs))
+    if args.bench:
+        stage, _, loops = args.bench.partition(":")
+        least, middle = bench(defs, stage, int(loops), opts)
+        return iter([f"{stage}: least {least:.3f} s, median {middle:.3f} s\n"]), 0
     with timed("cluster", args.timing):
-        found = materialise(cluster(defs, opts))
-    ordered = report_findings(found, opts, args.errors_only)
+        found = materialise(cluster(defs, opts, args.timing))
+    if args.save:
+        save_stages(defs, found, args.save)
+    ordered = materialise(report_findings(found, opts, args.errors_only)) if opts.directives or args.errors_only else found
     if args.calibrate:
         tiers, inferred = calibration_parts(ordered, defs)
         inferred += vendored_rules(ordered, args.repo_root)
         show = render.json_calibration if args.json else render.text_calibration
-        return show(tiers, inferred, args.repo_root), 0
-    rows = ordered.collect()
-    code = int(any(r.severity == "ERROR" for r in rows))
+        return iter([show(tiers, inferred, args.repo_root)]), 0
+    code = int(not ordered.where(F.col("severity") == "ERROR").isEmpty())
+    shown = ordered if args.json or args.show_info else ordered.where(F.col("severity") != "INFO")
+    rows = in_report_order(shown).toLocalIterator(prefetchPartitions=True)
     if args.json:
         return render.json_report(rows, args.repo_root), code
-    shown = rows if args.show_info else [r for r in rows if r.severity != "INFO"]
     kinds = {k for lang in langs for k in FRONTENDS[lang].kinds}
     assert kinds <= set(KINDS)
-    return render.text_report(shown, kinds, opts.threshold, opts.error_threshold, args.repo_root), code
+    return (line + "\n" for line in render.text_report(rows, kinds, opts.threshold, opts.error_threshold, args.repo_root)), code
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -138,7 +161,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"clonewright: {error}", file=sys.stderr)
         return 2
     spark = local_session("*")
-    text, code = run(spark, args)
-    sys.stdout.write(text)
+    parts, code = run(spark, args)
+    sys.stdout.writelines(parts)
     sys.stdout.flush()
     return code

@@ -20,6 +20,21 @@ def first_definition(lang: str, text: str) -> Definition | None:
     return next((d for d in found if d.canonical is not None), None)
 
 
+def analyses(lang: str, texts: list[str]) -> list[tuple[str, str, list[str], int] | None]:
+    """(canonical, renamed canonical, lines, size) of each text that is one callable, None for others; for Rust, functions, methods and trait methods alike."""
+
+    def one(text: str) -> tuple | None:
+        d = first_definition(lang, text)
+        return None if d is None or d.analysis is None else (d.canonical, d.analysis.xname_canonical, d.analysis.type3_lines, d.analysis.size)
+
+    return with_deep_stack(lambda: [one(t) for t in texts])
+
+
+def renamed_forms(lang: str, texts: list[str]) -> list[tuple[str, list[str], int] | None]:
+    """(renamed canonical, lines, size) of each text that is one callable, None for others."""
+    return [None if a is None else a[1:] for a in analyses(lang, texts)]
+
+
 def canonical(lang: str) -> Callable[[Column], Column]:
     """A column function: the structural form of each text, or the text itself where it holds no definition that parses; null stays null."""
 

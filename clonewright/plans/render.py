@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Row
 
@@ -61,51 +61,66 @@ def suffix(finding: Row) -> str:
     return f"  [{', '.join(marks)}]" + (f"  # {'; '.join(finding.notes)}" if finding.notes else "")
 
 
-def text_report(findings: list[Row], kind_ids: Iterable[str], warn: float, error: float, root: str) -> str:
-    """Findings by section, and a count. INFO counts as WARNING there, as the report has always had it."""
+# The wording of the report's lines.
+NOTHING = "No cross-file duplicates."
+
+
+def text_report(findings: Iterable[Row], kind_ids: Iterable[str], warn: float, error: float, root: str) -> Iterator[str]:
+    """Lines of the report: findings, which come in report order, by section, and a count. INFO counts as WARNING there, as the report has always had it."""
     short = Paths(root)
-    by_section: dict[int, list[Row]] = {}
+    n = errors = 0
+    open_sections = iter(sections(kind_ids, warn, error))
+    index = -1
+
+    def headed(upto: float) -> Iterator[str]:
+        nonlocal index
+        while index < upto and (following := next(open_sections, None)) is not None:
+            yield from [""] * (index >= 0)
+            index = following[0]
+            yield f"--- {following[1]} ---"
+
     for f in findings:
-        by_section.setdefault(section(f), []).append(f)
-    lines: list[str] = []
-    for i, (index, heading) in enumerate(sections(kind_ids, warn, error)):
-        lines += [""] * (i > 0) + [f"--- {heading} ---"]
-        for f in by_section.get(index, []):
-            lines.append(f"DUPLICATE {f.kind.label} [{f.severity}]: {f.name}{suffix(f)}")
-            lines += [f"  {short(m.file)}:{m.line}" for m in f.members] + [""]
-    if findings:
-        errors = sum(f.severity == "ERROR" for f in findings)
-        lines.append(f"# summary: {errors} ERROR, {len(findings) - errors} WARNING groups")
-    else:
-        lines.append("No cross-file duplicates.")
-    return "\n".join(lines) + "\n"
-
-
-def json_report(findings: list[Row], root: str) -> str:
-    """All findings and counts by severity, in the order they are first seen."""
+        yield from headed(section(f))
+        n += 1
+        errors += f.severity == "ERROR"
+        yield f"DUPLICATE {f.kind.label} [{f.severity}]: {f.name}{suffix(f)}"
+        yield from (f"  {short(m.file)}:{m.line}" for m in f.members)
+        yield ""
+    yield from headed(float("inf"))
+    yield f"# summary: {errors} ERROR, {n - errors} WARNING groups" if n else NOTHING
+
+
+def json_report(findings: Iterable[Row], root: str) -> Iterator[str]:
+    """Lines of the JSON report: all findings and counts by severity, in the order they are first seen."""
     short = Paths(root)
-    groups, summary = [], {}
+    summary: dict[str, int] = {}
+    n = 0
     for f in findings:
         cross = is_cross_name(f["pass"])
         rule = "dup-xname" if cross else f"dup-{f.kind.label.lower()}"
-        groups.append(
-            {
-                "kind": f.kind.label,
-                "name": f.name,
-                "severity": f.severity,
-                "min_sim": f.min_sim,
-                "cross_name": cross,
-                "thickness": f.thickness,
-                "loc": f.loc,
-                "args": f.args,
-                "members": [{"file": short(m.file), "line": m.line} for m in f.members],
-                "allowlist_key": f"{rule} {f.name}",
-                "notes": list(f.notes),
-            }
-        )
+        group = {
+            "kind": f.kind.label,
+            "name": f.name,
+            "severity": f.severity,
+            "min_sim": f.min_sim,
+            "cross_name": cross,
+            "thickness": f.thickness,
+            "loc": f.loc,
+            "args": f.args,
+            "members": [{"file": short(m.file), "line": m.line} for m in f.members],
+            "allowlist_key": f"{rule} {f.name}",
+            "notes": list(f.notes),
+        }
+        yield ("{\n  \"groups\": [\n" if n == 0 else ",\n") + _indented(group, 4)
+        n += 1
         summary[f.severity] = summary.get(f.severity, 0) + 1
-    summary["total"] = len(findings)
-    return json.dumps({"groups": groups, "summary": summary}, indent=2, ensure_ascii=False) + "\n"
+    summary["total"] = n
+    opened = "\n  ],\n" if n else "{\n  \"groups\": [],\n"
+    yield opened + '  "summary": ' + _indented(summary, 2).lstrip() + "\n}\n"
+
+
+def _indented(value: dict, by: int) -> str:
+    return "\n".join(" " * by + x for x in json.dumps(value, indent=2, ensure_ascii=False).split("\n"))
 
 
 def dedented(snippet: str) -> str:

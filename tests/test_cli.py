@@ -1,11 +1,12 @@
 """The command line on a small tree in two languages, with what the report must say."""
 
 import json
+from pathlib import Path
 
 import pytest
 
 from clonewright import cli
-from clonewright.sources.snapshot import load_definitions, load_findings, save_definitions, save_findings, type3_inputs
+from clonewright.sources.snapshot import load_definitions, load_findings, load_type3_inputs, save_definitions, save_findings, type3_inputs
 from clonewright.sources.walk import definitions, read_sources, source_paths
 
 PY = '''LIMIT = 5
@@ -35,7 +36,7 @@ TS = "export const LIMIT = 5;\n\nexport type Ids = number[];\n\nexport function
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("tests") / "mixed"
+    root = tmp_path_factory.mktemp("tree") / "tests" / "mixed"
     for path, text in {
         "py/a.py": PY.replace("{name}", "add"),
         "py/__init__.py": PY.replace("{name}", "plus"),
@@ -51,8 +52,19 @@ def tree(tmp_path_factory):
     return root
 
 
+SEEN = {}
+
+
 def run(spark, tree, *extra):
-    return cli.run(spark, cli.parser().parse_args([str(tree), "--repo-root", str(tree), *extra]))
+    """(report, code) of one invocation; the same one is run once."""
+    if extra not in SEEN or "--save" in extra:
+        SEEN[extra] = _run(spark, tree, *extra)
+    return SEEN[extra]
+
+
+def _run(spark, tree, *extra):
+    parts, code = cli.run(spark, cli.parser().parse_args([str(tree), "--repo-root", str(tree), *extra]))
+    return "".join(parts), code
 
 
 def test_walk(tree):
@@ -101,3 +113,33 @@ def test_snapshots(spark, tree, tmp_path):
     save_findings(found, str(tmp_path / "f"), "json")
     assert {r.name for r in load_findings(spark, str(tmp_path / "f"), "json").collect()} == {r.name for r in found.collect()}
     assert type3_inputs(defs).count() == 6
+
+
+GOLDEN = Path(__file__).parent / "golden"
+
+
+@pytest.mark.parametrize(
+    ("name", "flags"),
+    [
+        ("report.txt", ["--show-info"]),
+        ("report.json", ["--json"]),
+        ("calibrate.txt", ["--calibrate"]),
+        ("report.py.txt", ["--only", "py", "--show-info"]),
+        ("report.ts.txt", ["--only", "ts", "--show-info"]),
+    ],
+)
+def test_reports_to_the_byte(spark, tree, name, flags):
+    assert run(spark, tree, *flags)[0] == (GOLDEN / name).read_text(encoding="utf-8")
+
+
+def test_saved_stages_give_the_same_report(spark, tree, tmp_path, capsys):
+    saved = str(tmp_path / "stages")
+    text, code = run(spark, tree, "--save", saved, "--timing")
+    err = capsys.readouterr().err
+    assert all(f"{stage}: " in err for stage in ("scan", "name", "cross-name", "type-3", "cluster"))
+    assert load_type3_inputs(spark, f"{saved}/type3").count() == 6
+    parts, again = cli.run(spark, cli.parser().parse_args(["--load", saved, "--repo-root", str(tree)]))
+    assert ("".join(parts), again) == (text, code)
+    parts, code = cli.run(spark, cli.parser().parse_args(["--load", saved, "--bench", "cross-name:2"]))
+    assert "".join(parts).startswith("cross-name: least ") and code == 0
+    assert cli.main(["--load", saved, "--bench", "other:1"]) == 2 and cli.main([]) == 2
