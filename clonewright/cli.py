@@ -95,8 +95,7 @@ def calibration_parts(found: DataFrame, defs: DataFrame) -> tuple[list[tuple[str
     for severity, flag in TIERS:
         own = found.where(F.col("severity") == severity)
         tiers.append((severity, flag, calibration.histogram(own).orderBy("bin").collect(), calibration.suggestions(own).collect()))
-    large = [(r.kind_id, r.name, r.n) for r in large_name_groups(defs, calibration.SUGGESTED_CAP).collect()]
-    inferred = calibration.inferred_cap(large) + calibration.inferred_rules(found)
+    inferred = calibration.inferred_cap(large_name_groups(defs, calibration.SUGGESTED_CAP)) + calibration.inferred_rules(found)
     return tiers, inferred
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clonewright.plans.scratch import discard, materialise
+
 BINS = 10
 # The suggestions and the percentiles they stand on.
 ANCHORS = (("permissive", 50), ("balanced", 75), ("strict", 90))
@@ -23,6 +27,40 @@ def histogram(findings: DataFrame) -> DataFrame:
     return bins.join(F.broadcast(counts), "bin", "left").select("bin", lo.alias("lo"), hi.alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Values of a numeric column at shares between 0 and 1, interpolated between neighbours; None if it holds none.
+
+    Values are counted, range-sorted and written; counts per partition tell
+    which partitions hold the wanted ranks, and only those are ranked row by
+    row, so the distinct values never meet in one task. The driver gets a count
+    per partition and two values per share.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = materialise(counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    total = sum(p.n for p in parts)
+    if not total:
+        discard(placed)
+        return None
+    places = [(total - 1) * s for s in shares]
+    ranks = sorted({r for at in places for r in (floor(at), ceil(at))})
+    base, before = {}, 0
+    for p in parts:
+        if any(before <= r < before + p.n for r in ranks):
+            base[p.part] = before
+        before += p.n
+    start = F.lit(0)
+    for part, n in base.items():
+        start = F.when(F.col("part") == part, F.lit(n)).otherwise(start)
+    upto = start + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = placed.where(F.col("part").isin(list(base))).select("v", (upto - F.col("n")).alias("lo"), upto.alias("hi"))
+    hit = F.exists(F.array(*[F.lit(r) for r in ranks]), lambda r: (F.col("lo") <= r) & (r < F.col("hi")))
+    found = ranked.where(hit).collect()
+    discard(placed)
+    at_rank = {r: next(x.v for x in found if x.lo <= r < x.hi) for r in ranks}
+    return [at_rank[floor(at)] if floor(at) == ceil(at) else (ceil(at) - at) * at_rank[floor(at)] + (at - floor(at)) * at_rank[ceil(at)] for at in places]
+
+
 def suggestions(findings: DataFrame) -> DataFrame:
     """One row per anchor: the threshold at that percentile, what stays above it, and the thinnest finding that does.
 
@@ -31,7 +69,7 @@ def suggestions(findings: DataFrame) -> DataFrame:
     """
     spark = findings.sparkSession
     shares = [p / 100 for _, p in ANCHORS]
-    cuts = findings.agg(F.percentile("thickness", F.array(*[F.lit(s) for s in shares])).alias("cuts")).first()[0]
+    cuts = quantiles(findings, "thickness", shares)
     if cuts is None:
         return spark.createDataFrame([], "label string, percentile int, threshold double, kept long, median_loc int, median_args int, name string, thickness double, loc int, args int, members array<struct<file:string,line:int,col:int>>, snippet string")
     rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("percentile"), F.lit(float(c)).alias("threshold")) for (label, p), c in zip(ANCHORS, cuts, strict=True)])
@@ -159,25 +197,33 @@ def inferred_rules(findings: DataFrame) -> list[tuple]:
     return out
 
 
-def inferred_cap(groups: list[tuple[str, str, int]]) -> list[tuple]:
-    """The suggestion to cap name groups, from (kind id, name, n) of the large ones in report order."""
-    if not groups:
+# The suggestion to cap name groups and its reason.
+CAP_DIRECTIVE = "settings:max-name-group={cap}"
+CAP_REASON = "{n} name-group(s) exceed {cap} members ({sample}) — shared / entry-point names, not duplication; their O(n²) name-gated clustering dominates runtime, so the cap skips them"
+
+
+def inferred_cap(groups: DataFrame, named: int = 4) -> list[tuple]:
+    """The suggestion to cap name groups, from the rows (kind_id, name, n) of the large ones in report order; only those it names reach the driver."""
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not n:
         return []
-    sample = ", ".join(f"{k}:{name} ×{n}" for k, name, n in groups[:4]) + (f", +{len(groups) - 4} more" if len(groups) > 4 else "")
-    why = f"{len(groups)} name-group(s) exceed {SUGGESTED_CAP} members ({sample}) — shared / entry-point names, not duplication; their O(n²) name-gated clustering dominates runtime, so the cap skips them"
-    return [(f"settings:max-name-group={SUGGESTED_CAP}", why, sum(n for *_, n in groups), 0, 0, 0)]
+    sample = ", ".join(f"{r.kind_id}:{r.name} ×{r.n}" for r in groups.limit(named).collect()) + (f", +{n - named} more" if n > named else "")
+    return [(CAP_DIRECTIVE.format(cap=SUGGESTED_CAP), CAP_REASON.format(n=n, cap=SUGGESTED_CAP, sample=sample), total, 0, 0, 0)]
+
+
+# Marks of a folder that holds copies, and their points.
+VENDORED_MARKS = (
+    (("/fixtures/", "/__fixtures__/"), 10),
+    (("/test/", "/tests/", "/__tests__/"), 5),
+    (("/vendor/", "/vendored/", "/third_party/"), 8),
+    (("/extensions/", "/extension/"), 1),
+)
 
 
 def vendored_score(directory: Column) -> Column:
     """How much a folder looks like a copy of another: marks of fixtures, tests, vendored code and the like add up."""
-    marks = (
-        (("/fixtures/", "/__fixtures__/"), 10),
-        (("/test/", "/tests/", "/__tests__/"), 5),
-        (("/vendor/", "/vendored/", "/third_party/"), 8),
-        (("/extensions/", "/extension/"), 1),
-    )
     score = F.when(directory.contains("/util/vs/"), 5).when(directory.contains("/util/"), 1).otherwise(0)
-    for parts, points in marks:
+    for parts, points in VENDORED_MARKS:
         score = score + F.when(_any_of(directory, parts), points).otherwise(0)
     return score
 

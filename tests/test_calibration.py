@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clonewright.functions.model import FINDING_SCHEMA
@@ -60,7 +61,10 @@ def test_inferred_rules(spark):
     got = {r[0].split(":")[0]: r[2:] for r in c.inferred_rules(table(spark, rows))}
     assert got == {"de-escalate": (3, 3, 0, 0), "suppress": (3, 0, 0, 3)}
     assert c.inferred_rules(table(spark, [])) == []
-    assert c.inferred_cap([]) == [] and c.inferred_cap([("functions", "main", 300)])[0][2] == 300
+    groups = spark.createDataFrame([("functions", f"n{k}", 300 - k) for k in range(6)], "kind_id string, name string, n long").orderBy(F.col("n").desc())
+    assert c.inferred_cap(groups.where("n < 0")) == []
+    (rule, why, total, *_), = c.inferred_cap(groups)
+    assert rule == "settings:max-name-group=256" and total == 1785 and "functions:n3 ×297, +2 more" in why and "n4" not in why
 
 
 def test_vendored_roots(spark):
@@ -69,3 +73,15 @@ def test_vendored_roots(spark):
     got = c.vendored_roots(table(spark, rows), 3).collect()
     assert [(r.anchor, r.source, r.n) for r in got] == [("x/vendor/copy", "src/core", 4)]
     assert c.vendored_roots(table(spark, rows), 30).count() == 0
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    values = [float(x) for x in draw.integers(0, 40, 300) / 7] + [float(x) for x in draw.random(200)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.5, 0.75, 0.9, 1.0]
+    assert c.quantiles(rows, "v", shares) == pytest.approx(list(np.quantile(values, shares)), abs=1e-12)
+    assert c.quantiles(rows.where("v is null"), "v", shares) is None
+    assert c.quantiles(spark.createDataFrame([(2.5,)] * 9, "v double"), "v", shares) == [2.5] * 5
