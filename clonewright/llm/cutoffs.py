@@ -21,11 +21,13 @@ def cutoffs(scores: DataFrame, targets: DataFrame, source: list[str], score: str
     The cutoff is the greatest score that at least n * permille / 1000 scores
     reach (a share of 0 gives the greatest score). Null and NaN scores do not
     count. A source without scores gives no row; a source with several targets
-    takes the greatest; null source parts match nothing.
+    takes the greatest; null source parts match nothing. No side is broadcast by
+    order: Spark does so where its own size limit allows, and adaptive execution
+    splits a hot source where it does not.
     """
     wanted = targets.groupBy(*source).agg(F.max(permille).alias("permille")).dropna(subset=[*source, "permille"])
     usable = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(*source, (F.col(score) + F.lit(0.0)).alias("score"))
-    usable = usable.join(F.broadcast(wanted.select(*source)), source, "left_semi")
+    usable = usable.join(wanted.select(*source), source, "left_semi")
     counted = usable.groupBy(*source, "score").agg(F.count(F.lit(1)).alias("n"))
     ranged = counted.repartitionByRange(*[F.col(c) for c in source], F.col("score").desc())
     placed = materialise(ranged.withColumn("part", F.spark_partition_id()))
@@ -36,14 +38,14 @@ def cutoffs(scores: DataFrame, targets: DataFrame, source: list[str], score: str
         .agg(F.sum("n").alias("in_part"))
         .withColumn("before", F.coalesce(F.sum("in_part").over(before), F.lit(0)))
         .withColumn("total", F.sum("in_part").over(every))
-        .join(F.broadcast(wanted), source)
+        .join(wanted, source)
         .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("total") * F.col("permille") / 1000)))
         .where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("in_part")))
         .drop("in_part")
     )
     running = Window.partitionBy(*source).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(F.broadcast(parts), [*source, "part"])
+        placed.join(parts, [*source, "part"])
         .withColumn("reached", F.col("before") + F.sum("n").over(running))
         .where(F.col("reached") >= F.col("rank"))
         .groupBy(*source)
@@ -70,6 +72,6 @@ def latest_findings(findings: DataFrame) -> DataFrame:
 def kept(scores: DataFrame, cuts: DataFrame, source: list[str], score: str) -> DataFrame:
     """The rows of ``scores`` that reach the cutoff of their source; ``cuts`` has a row per target at most."""
     name = "__clonewright_cutoff"
-    limits = F.broadcast(cuts.select(*source, F.col("cutoff").alias(name)))
+    limits = cuts.select(*source, F.col("cutoff").alias(name))
     usable = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
     return usable.join(limits, source).where(F.col(score) >= F.col(name)).select(*[usable[c] for c in scores.columns])

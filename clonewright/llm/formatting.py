@@ -22,7 +22,7 @@ def canonical_digests(values: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 #: Digests under which the second hash differs are collisions: grouping on both tells them apart.
-KEY = ["field", "digest", "check"]
+KEY = ["digest", "check", "field"]
 
 
 def collapse(values: DataFrame, min_words: int = 8) -> DataFrame:

@@ -165,40 +165,40 @@ def shared_spans(values: DataFrame, span: int = 240, gram: int = 120, hot: int =
     """
     long_enough = values.where(F.length("value") >= span)
     digests = long_enough.select("field", "def_id", F.unhex(F.md5("value")).alias("digest"), F.length("value").alias("n_chars"))
-    groups = digests.groupBy("field", "digest").agg(F.min("def_id").alias("rep"), F.max("def_id").alias("_last"))
+    groups = digests.groupBy("digest", "field").agg(F.min("def_id").alias("rep"), F.max("def_id").alias("_last"))
     groups = groups.select("field", "digest", "rep", (F.col("rep") < F.col("_last")).alias("copied"))
-    classes = materialise(digests.distinct().join(groups, ["field", "digest"]).select("field", "def_id", "rep", "copied", "n_chars"))
+    classes = materialise(digests.distinct().join(groups, ["digest", "field"]).select("field", "def_id", "rep", "copied", "n_chars"))
     reps = classes.select("field", F.col("rep").alias("def_id")).distinct()
-    texts = materialise(long_enough.join(reps, ["field", "def_id"], "left_semi").dropDuplicates(["field", "def_id"]).select("field", "def_id", "value"))
+    texts = materialise(long_enough.join(reps, ["def_id", "field"], "left_semi").dropDuplicates(["def_id", "field"]).select("field", "def_id", "value"))
 
     prints = materialise(texts.mapInArrow(_fingerprint_stage(span, gram), "field string, rep long, print long, lo int, hi int"))
     shared = (
-        prints.groupBy("field", "print")
+        prints.groupBy("print", "field")
         .agg(F.min("rep").alias("_a"), F.max("rep").alias("_b"), F.count(F.lit(1)).alias("n"))
         .where(F.col("_a") < F.col("_b"))
         .select("field", "print", "n")
     )
     cut = F.expr(f"substring(value, lo + 1, hi - lo + {span})")
     around = (
-        prints.join(shared, ["field", "print"])
-        .join(texts.withColumnRenamed("def_id", "rep"), ["field", "rep"])
+        prints.join(shared, ["print", "field"])
+        .join(texts.withColumnRenamed("def_id", "rep"), ["rep", "field"])
         .select("field", "print", "rep", "lo", cut.alias("text"), "n")
     )
     around = materialise(around)
     cool = around.where(F.col("n") <= hot).select("field", "print", "rep", "lo", "text")
     shared_runs = kernel(values.sparkSession, "SharedRuns", "array<struct<rep:bigint,start:int,end:int>>", Path(__file__).parent)
-    shards = cool.groupBy("field", "print").agg(F.collect_list(F.struct("rep", F.col("lo").cast("long").alias("lo"), "text")).alias("s"))
+    shards = cool.groupBy("print", "field").agg(F.collect_list(F.struct("rep", F.col("lo").cast("long").alias("lo"), "text")).alias("s"))
     found = shards.select("field", F.inline(shared_runs(F.col("s.rep"), F.col("s.lo"), F.col("s.text"), F.lit(span))))
     runs = around.where(F.col("n") > hot).select("field", "print", "rep", "lo", "text")
     runs = runs.mapInArrow(_explode_stage(span), "field string, print long, h1 long, h2 long, rep long, start int")
-    key = ["field", "print", "h1", "h2"]
+    key = ["h1", "h2", "print", "field"]
     twice = runs.groupBy(*key).agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).where(F.col("_a") < F.col("_b")).select(*key)
     found_hot = runs.join(twice, key).select("field", "rep", "start", (F.col("start") + span).alias("end"))
     stretches = _merged(found.unionByName(found_hot))
     whole = classes.where("copied").select("field", "def_id", "n_chars", F.col("n_chars").cast("long").alias("n_shared"), F.lit(1).cast("long").alias("n_spans"))
     single = (
         classes.where(~F.col("copied"))
-        .join(stretches.withColumnRenamed("rep", "def_id"), ["field", "def_id"])
+        .join(stretches.withColumnRenamed("rep", "def_id"), ["def_id", "field"])
         .select("field", "def_id", "n_chars", "n_shared", "n_spans")
     )
     return whole.unionByName(single)
@@ -206,7 +206,7 @@ def shared_spans(values: DataFrame, span: int = 240, gram: int = 120, hot: int =
 
 def _merged(runs: DataFrame) -> DataFrame:
     """(field, rep, n_shared, n_spans) of the union of each value's runs; their number is bounded by its length."""
-    before = Window.partitionBy("field", "rep").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("rep", "field").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end").over(before), F.lit(-1))
     steps = runs.withColumn("reach", reach).select(
         "field",
@@ -214,4 +214,4 @@ def _merged(runs: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reach")).alias("more"),
         (F.col("start") > F.col("reach")).cast("int").alias("new"),
     )
-    return steps.groupBy("field", "rep").agg(F.sum("more").alias("n_shared"), F.sum("new").alias("n_spans"))
+    return steps.groupBy("rep", "field").agg(F.sum("more").alias("n_shared"), F.sum("new").alias("n_spans"))
