@@ -63,7 +63,7 @@ def scan_sources(spark: SparkSession, d: str) -> DataFrame:
     # the newest scan is found on times alone; contents only move to be dealt out evenly
     last = sources.select("file", "scanned_at").withColumn("_k", newest).where("_k = 1").drop("_k")
     same = (sources["file"] == last["file"]) & sources["scanned_at"].eqNullSafe(last["scanned_at"])
-    files = sources.join(last, same, "left_semi").repartition(heavy_tasks(spark)).dropDuplicates(["file"])
+    files = sources.join(last, same, "left_semi").repartition(heavy_tasks(spark), "file").dropDuplicates(["file"])
     return scan(files.select("lang", "file", "content")).select("lang", F.col("kind.id").alias("kind_id"), "name", "file", "line", "col", "loc", "args", F.col("analysis").isNotNull().alias("analysed"))
 
 
