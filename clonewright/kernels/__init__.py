@@ -19,7 +19,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from clonewright.plans.scratch import shared_dir
+from clonewright.plans.scratch import remove_at_exit, shared_dir
 
 _READY: weakref.WeakKeyDictionary[SparkSession, dict[str, str]] = weakref.WeakKeyDictionary()
 _PACKAGE = "clonewright.kernels"
@@ -58,6 +58,7 @@ def kernel(spark: SparkSession, name: str, returns: DataType | str, folder: Path
             for each, code in _compiled(spark, sources).items():
                 z.writestr(each.replace(".", "/") + ".class", code)
         _write(spark, jar, packed.getvalue())
+        remove_at_exit(spark, jar)
         spark.sql(f"ADD JAR '{jar}'")
         jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         loader = spark._jsparkSession.artifactManager().classloader()

@@ -35,12 +35,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clonewright/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append((spark, path))
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._clonewright_path = path
     return out
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared folder when the driver's Python ends."""
+    _TABLES.append((spark, path))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
