@@ -85,6 +85,31 @@ def test_kernels_of_two_sides_match_difflib(spark):
     assert one.select(least("texts", "sides", F.lit(1.0))).first()[0] == min(across.values())
 
 
+def test_known_groups_are_not_compared_again(spark):
+    texts = texts_of(8)
+    n = len(texts)
+    sides = [i % 2 for i in range(n)]
+    groups = [100 + (i % 3 if i % 5 == 0 else 10 + i) for i in range(n)]
+    across = {(i, j) for j in range(n) for i in range(j) if sides[i] != sides[j] and ratio(texts[i], texts[j]) >= 0.6}
+    known = [(groups.index(g), i) for i, g in enumerate(groups) if groups.index(g) != i]
+    one = spark.createDataFrame([(list(range(n)), texts, sides, groups)], "reps array<bigint>, texts array<string>, sides array<bigint>, groups array<bigint>")
+    further = kernel(spark, "FurtherLinks", "array<struct<a:bigint,b:bigint>>")
+    edges = [(r.a, r.b) for r in one.select(F.inline(further("reps", "texts", "sides", F.lit(0.6), "groups"))).collect()]
+    assert known and edges and brute_labels(edges + known) == brute_labels([*across, *known])
+    assert not {b for _, b in edges} & {b for _, b in known}
+
+
+def test_kernel_of_many_long_texts_matches_difflib(spark):
+    draw = random.Random(9)
+    parts = ["".join(draw.choice("abcdefgh(), ") for _ in range(k)) for k in (3, 5, 9, 12, 17, 20, 33, 40, 70) for _ in range(3)]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(3, 14))) for _ in range(34)]
+    pairs = {(i, j): ratio(texts[i], texts[j]) for j in range(len(texts)) for i in range(j)}
+    for floor in (0.3, 0.5):
+        label = brute_labels([p for p, r in pairs.items() if r >= floor])
+        want = [sorted(i for i, x in label.items() if x == k) for k in sorted(set(label.values()))]
+        assert clusters(spark, texts, floor) == [(own, min(pairs[i, j] for y, j in enumerate(own) for i in own[:y])) for own in want]
+
+
 def test_long_repetitive_texts_go_through_the_automaton(spark):
     a, b, c = "ab" * 6000, "ab" * 5000, "x" + "ab" * 5500
     assert clusters(spark, [a, b], 0.5) == [([0, 1], 2 * 10000 / 22000)]
