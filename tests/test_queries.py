@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clonewright import queries
 from clonewright.functions.model import DEFINITION_SCHEMA
 from clonewright.kernels import kernel
+from clonewright.operators import named
 
 from test_passes import brute_labels, row
 
@@ -39,6 +40,17 @@ def test_all_passes_counts_names_of_any_size(spark, hot):
     assert got == {("name", "functions"): 2}
 
 
+def test_all_passes_link_large_names_in_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(named, "BLOCK", 4)
+    done = []
+    paired = named._paired_blocks
+    monkeypatch.setattr(named, "_paired_blocks", lambda texts, tasks, key, stages: done.append(stages) or paired(texts, tasks, key, stages))
+    texts = [f"{'first' if i % 2 else 'OTHER'} " * 9 + chr(0x4E00 + i) for i in range(70)] + ["nothing like it", "0123456789"]
+    definitions(spark, str(tmp_path), [row(i, "main", canonical=t) for i, t in enumerate(texts)])
+    got = {(r["pass"], r.severity): r.n for r in queries.all_passes(spark, str(tmp_path)).collect()}
+    assert got == {("name", "ERROR"): 2} and done == [[0], [1], [2], [0, 1, 2]]
+
+
 def clusters(spark, texts, floor):
     """(members, least ratio) of every cluster that the kernel finds, by first member."""
     made = kernel(spark, "NameClusters", "array<struct<rep:bigint,cluster:bigint,min_sim:double>>")
@@ -116,6 +128,13 @@ def test_long_repetitive_texts_go_through_the_automaton(spark):
     assert clusters(spark, [a, c], 0.5) == [([0, 1], 2 * 11000 / 23001)]
 
 
+def test_texts_of_many_letters_are_counted_at_fewer_places(spark):
+    draw = random.Random(11)
+    a = "".join(chr(0x4E00 + draw.randrange(9_000)) for _ in range(60_000))
+    b = a[:20_003] + a[29_998:]  # 120,000 / 32 places of 9,000 counts are too many
+    assert clusters(spark, [a, b], 0.5) == [([0, 1], 2 * len(b) / (len(a) + len(b)))]
+
+
 def test_canonical_forms_of_every_language(spark, tmp_path):
     texts = {"py": "def f(a):\n    b = a + 1\n    return b\n", "ts": "function f(a) {\n  const b = a + 1;\n  return b;\n}\n", "rs": "fn f(a: i32) -> i32 {\n    let b = a + 1;\n    b\n}\n"}
     rows = [(r[0], lang, *r[2:]) for i, (lang, t) in enumerate(texts.items()) for r in [row(i, "f", text=t)]]
